@@ -47,14 +47,9 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray:
     At most BITMAP_BITS / 64 words reach the driver, so its size never depends on the
     number of values.  Members always test true; others may.
     """
-    mask = BITMAP_BITS - 1
-    slot = F.col(column).bitwiseAND(F.lit(mask))
-    got = (
-        values.select(F.shiftright(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .toPandas()
-    )
+    slot = f"({column} & {BITMAP_BITS - 1}L)"
+    words = values.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b")
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(BITMAP_BITS // 64, np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out.view(np.uint64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, exact_dedup, langid, sharding
+from quillon.llm import bpe, chat, exact_dedup, langid, line_dedup, lm, sharding, substring
 from quillon.llm.common import table, words_text
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(words_text(), 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(5) == 0).alias("held_out"))
     dictionaries = langid.fit(docs.where("not held_out and lang is not null"))
@@ -38,13 +43,35 @@ def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(7) == 2).alias("held_out"))
+    return lm.lm_scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), "|")
     return out.select("conv_id", "speaker", "block", "n_turns", "rendered", spans.alias("mask_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_language_id, op6_byte_bpe, op7_hash_tree_sharding, op9_perspective_rotation)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op4_line_dedup,
+        op5_language_id,
+        op6_byte_bpe,
+        op7_hash_tree_sharding,
+        op8_backoff_lm,
+        op9_perspective_rotation,
+        op10_substring_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
