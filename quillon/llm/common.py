@@ -14,15 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the cluster's shared checkpoint folder and cuts its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only a session without one (tests,
-    local runs) gets a temporary folder.
+    Only a session without one (tests, local runs) gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared checkpoint folder and cuts its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, exact_dedup, langid, line_dedup, lm, sharding, substring
+from quillon.llm import bpe, chat, decontam, exact_dedup, langid, line_dedup, lm, near_dedup, sharding, substring
 from quillon.llm.common import table, words_text
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that contaminates it; documents without a row are clean."""
+    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("rid").alias("doc_id"), F.col("item").alias("item_id"), "cover", "n_slots", "reparameterised", F.lit(False).alias("kept"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(words_text(), 256).alias("kept_sha256"))
@@ -63,6 +73,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_template_decontamination,
+        op3_minhash_near_dedup,
         op4_line_dedup,
         op5_language_id,
         op6_byte_bpe,
