@@ -1,4 +1,75 @@
-STAGES = []
+"""A document pipeline of five text operators, each stage's result read by the next.
+
+run() writes every stage but the last as Parquet into the cluster's shared checkpoint
+folder and reads it again, so that no stage recomputes another and a lost executor costs
+its own stage's work only.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, decontam, langid, line_dedup, near_dedup
+from quillon.llm.common import shared_dir, table
+from quillon.llm.queries import RANK_FILE
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the classifier rejects; lang becomes the predicted one."""
+    dictionaries = langid.fit(docs)
+    out = langid.classify(docs, dictionaries).where("not rejected")
+    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that repeat an earlier one; a document that had text and keeps none goes."""
+    out = line_dedup.line_dedup(docs)
+    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five words, similarity 0.8)."""
+    return near_dedup.drop_near_duplicates(docs, 80, 100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token ids and their number; only documents whose ids decode to their text pass."""
+    import public_tokenizers
+
+    out = bpe.bpe(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return out.where(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Compression, edit neighbourhoods and merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
