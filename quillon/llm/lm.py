@@ -28,13 +28,14 @@ tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import blocks
-from quillon.llm.common import cut
 from quillon.llm.textkit import U, plain, row_of, window_hashes, words
 
 ORDER = 2
@@ -159,17 +160,38 @@ def _score(t: pa.Table, answers: pa.Table, order: int, n_parts: int, k: float, n
 _SCHEMA = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+_ASKED = "block long, part long, n int, hashes binary, counts binary"
+_TOTALS = "block long, part long, n int, totals binary, tokens long, types long"
+
+
+def vocabulary(rows: DataFrame, n_parts: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of the rows that train.
+
+    Each batch sends its distinct tokens to the parts as a block does; the texts stay where
+    they are, and two numbers a part are added up.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            yield from _ask(t.append_column("block", pa.array(np.zeros(len(t), np.int64))), 1, n_parts).to_batches()
+
+    totals = rows.where("not held_out").select("text", "held_out").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_total, _TOTALS)
+    got = totals.agg(F.sum("tokens"), F.sum("types")).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
 def lm_scores(docs: DataFrame, held_out: str = "held_out", order: int = ORDER, k: float = K, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES, part_entries: int = blocks.PART_ENTRIES) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score; learns from rows where `held_out` is false."""
     _, n_blocks, n_parts = blocks.sizes(docs, text_col, block_bytes, part_entries, order)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
+    n_train, n_types = vocabulary(rows, n_parts)
     dealt = blocks.by_hash(rows, n_blocks, "id", "text")
-    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, order, n_parts), "block long, part long, n int, hashes binary, counts binary")
-    answers = cut(asked.groupBy("part").applyInArrow(_total, "block long, part long, n int, totals binary, tokens long, types long"))
-    n_train, n_types = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
+    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, order, n_parts), _ASKED)
+    answers = asked.groupBy("part").applyInArrow(_total, _TOTALS).select("block", "part", "n", "totals")
     out = (
         dealt.groupBy("block")
-        .cogroup(answers.drop("tokens", "types").groupBy("block"))
+        .cogroup(answers.groupBy("block"))
         .applyInArrow(lambda t, a: _score(t, a, order, n_parts, k, n_train, n_types), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
     return out.withColumnRenamed("id", id_col)
