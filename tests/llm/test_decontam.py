@@ -45,5 +45,5 @@ def test_short_items_and_empty(spark):
     item = "the quick brown fox jumps"
     assert set(found(spark, [(1, "see how the quick brown fox jumps over"), (2, "the quick brown dog jumps")], [(5, item)])) == {(1, 5)}
     none = spark.createDataFrame([], ITEM)
-    assert found(spark, [(1, Q)], []) == {} if False else decontaminate(spark.createDataFrame([(1, Q, "a")], DOC), none).count() == 1
+    assert decontaminate(spark.createDataFrame([(1, Q, "a")], DOC), none).count() == 1
     assert decontaminate(spark.createDataFrame([], DOC), spark.createDataFrame([(1, Q)], ITEM)).collect() == []
