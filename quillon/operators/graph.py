@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillon.functions.metrics import metric
 from quillon.operators.exact import knn_join, matrix, query_blocks
 from quillon.operators.topk import top_k
+from quillon.storage import cut
 
 SHARD_ROWS = 20_000
 
@@ -207,8 +208,8 @@ def knn_graph(base: DataFrame, k: int, metric_name: str = "l2") -> DataFrame:
 def nn_descent(base: DataFrame, k: int, rounds: int = 5, pool: int | None = None, sample: int = 10) -> DataFrame:
     """(id, rank, nbr, dist): approximate neighbour graph; neighbours of neighbours are tried, round by round.
 
-    Each round joins at most `sample` links of a row, and as many of those towards it, so
-    the work of a round grows with the rows only.
+    Each round joins, of every row, its `sample` nearest links, as many drawn by hash, and
+    as many of those towards it, so the work of a round grows with the rows only.
     """
     from quillon.functions.vectors import sq_l2
 
@@ -227,11 +228,12 @@ def nn_descent(base: DataFrame, k: int, rounds: int = 5, pool: int | None = None
     numbered = ids.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)))
     start = numbered.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(n)))).alias("at"))
     first = start.join(numbered.select(F.col("id").alias("nbr"), "at"), "at").select("id", "nbr")
-    links = best(scored(first), pool)
+    links = cut(best(scored(first), pool))
     for r in range(rounds):
-        out = top_k(links.withColumn("h", F.xxhash64("id", "nbr", F.lit(r))), sample, by="id", value="h", ident="nbr").select("id", "nbr")
+        drawn = top_k(links.withColumn("h", F.xxhash64("id", "nbr", F.lit(r))), sample, by="id", value="h", ident="nbr").select("id", "nbr")
+        out = drawn.unionByName(top_k(links, sample, by="id", ident="nbr").select("id", "nbr")).distinct()
         back = top_k(links.withColumn("h", F.xxhash64("nbr", "id", F.lit(r))), sample, by="nbr", value="h", ident="id").select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))
         near = out.unionByName(back).distinct()
         hop = near.select(F.col("nbr").alias("mid"), "id").join(near.select(F.col("id").alias("mid"), "nbr"), "mid").select("id", "nbr")
-        links = best(links.unionByName(scored(hop)).groupBy("id", "nbr").agg(F.min("dist").alias("dist")), pool)
+        links = cut(best(links.unionByName(scored(hop)).groupBy("id", "nbr").agg(F.min("dist").alias("dist")), pool))
     return top_k(links, k, by="id", ident="nbr").select("id", "rank", "nbr", "dist")
