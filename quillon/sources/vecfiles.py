@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,24 @@ def read_bin(spark: SparkSession, path: str, kind: str = "f", chunk: int = 65536
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, id long, vec array<{name}>")
 
 
+def _first_dimension(spark: SparkSession, path: str) -> int:
+    """The int32 at the start of a file, or of the first file of a folder, through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        at = sorted((f.getPath() for f in fs.listStatus(at) if f.isFile() and f.getLen()), key=str)[0]
+    f = fs.open(at)
+    try:
+        return struct.unpack("<i", bytes(f.read() for _ in range(4)))[0]
+    finally:
+        f.close()
+
+
 def read_vecs(spark: SparkSession, path: str, kind: str = "f", dim: int | None = None) -> DataFrame:
     """(id, vec): id is the record number over the file."""
     dtype, name, arrow = KINDS[kind]
     sc = spark.sparkContext
-    if dim is None:
-        dim = struct.unpack("<i", sc.binaryRecords(path, 4).first())[0]
+    dim = dim or _first_dimension(spark, path)
     size = 4 + dim * np.dtype(dtype).itemsize
     raw = sc.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
     rows = spark.createDataFrame(raw, "id long, raw binary")
@@ -87,7 +100,6 @@ def write_bin(df: DataFrame, path: str, kind: str = "f", vec: str = "vec", order
 
 def to_binary16(vec: str, kind: str = "fp16"):
     """Column of bytes: each value as half precision, or as the upper half of single precision."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
