@@ -35,6 +35,7 @@ from quillon.llm.textkit import plain
 
 OUTPUTS = ("lang_pred", "score", "margin", "rejected")
 PIECE = 4096
+SHORT = 1024
 LEVEL = 5
 #: Documented bounds of the sample.
 DOCS_PER_LANG, DOC_BYTES, DICT_BYTES = 160, 2048, 112 * 1024
@@ -85,7 +86,14 @@ def coders(dictionaries: dict[str, bytes], level: int = LEVEL) -> list:
 
 
 def encoded_sizes(raw: bytes, codecs: list, piece: int = PIECE) -> np.ndarray:
-    """Bytes of the whole text under each dictionary."""
+    """Bytes of the whole text under each dictionary.
+
+    A short text is written several times over: the coder stores what it cannot shorten by
+    some bytes as it is, under any dictionary, and the copies carry it over that mark at
+    nearly the same few bytes for every dictionary.
+    """
+    if len(raw) < SHORT:
+        raw = b" ".join([raw] * (SHORT // (len(raw) + 1) + 1))
     cuts = [raw[i : i + piece] for i in range(0, len(raw), piece)]
     return np.array([sum(len(c.compress(x)) for x in cuts) for c in codecs], np.int64)
 
