@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.llm import bpe, decontam, langid, line_dedup, near_dedup
 from quillon.llm.common import shared_dir, table
 from quillon.llm.queries import RANK_FILE
+from quillon.ship import shipped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,11 +54,11 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontamination", decontamination),
-    ("byte_bpe", byte_bpe),
+    ("language_id", shipped(language_id)),
+    ("line_dedup", shipped(line_dedup_stage)),
+    ("near_dedup", shipped(near_dedup_stage)),
+    ("decontamination", shipped(decontamination)),
+    ("byte_bpe", shipped(byte_bpe)),
 ]
 
 #: Compression, edit neighbourhoods and merges have no SQL; tests hold the stages against brute force.
