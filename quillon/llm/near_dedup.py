@@ -148,16 +148,33 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, num: int, den: int
     sk = sketches.select("cid", "n", "vals")
     a = sk.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("vals").alias("va"))
     b = sk.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("vals").alias("vb"))
-    both = pairs.join(a, "a").join(b, "b")
-    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("va", "vb")), 1, k)).withColumn("same", F.array_intersect("va", "vb"))
-    common = F.size("same")
-    exact = common * den >= (F.col("na") + F.col("nb") - common) * num
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb")
     t = num / den
     least = k * t - Z * math.sqrt(k * t * (1 - t))
-    last = F.element_at("u", -1)
-    guess = F.size(F.filter("same", lambda v: v <= last)) >= F.least(F.lit(1.0), F.size("u") / F.lit(float(k))) * least
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    return both.withColumn("sure", whole).where(F.when(whole, exact).otherwise(guess)).select("a", "b", "sure")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            va, vb = batch.column("va"), batch.column("vb")
+            xs, ys = np.asarray(va.flatten()), np.asarray(vb.flatten())
+            ax, ay = np.concatenate([[0], np.cumsum(va.value_lengths())]), np.concatenate([[0], np.cumsum(vb.value_lengths())])
+            whole = (na <= k) & (nb <= k)
+            keep = np.zeros(len(na), bool)
+            for i in range(len(na)):
+                both = np.sort(np.concatenate([xs[ax[i] : ax[i + 1]], ys[ay[i] : ay[i + 1]]]))
+                twice = both[1:] == both[:-1]
+                c = int(twice.sum())
+                if whole[i]:
+                    keep[i] = c * den >= (na[i] + nb[i] - c) * num
+                else:
+                    first = np.ones(len(both), bool)
+                    first[1:] = ~twice
+                    u = both[first][:k]  # the union's sketch
+                    keep[i] = int((both[1:][twice] <= u[-1]).sum()) >= min(1.0, len(u) / k) * least
+            at = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(whole[at])], names=["a", "b", "sure"])
+
+    return both.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
