@@ -82,16 +82,23 @@ class _Grams:
 def _ask(t: pa.Table, order: int, n_parts: int) -> pa.Table:
     g = _Grams(plain(t["text"]), order)
     train = ~t["held_out"].to_numpy(zero_copy_only=False)
-    out: dict[str, list] = {"block": [], "part": [], "n": [], "hashes": [], "counts": []}
-    for n in range(1, order + 1):
-        u = g.distinct[n - 1]
-        c = np.bincount(g.inverse[n - 1], train[g.row[g.at[n - 1]]], len(u)).astype(np.int64)
-        cuts = blocks.part_cuts(u, n_parts)
-        for p in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[p], cuts[p + 1]
-            for k, v in zip(out, (t["block"][0].as_py(), int(p), n, u[a:b].tobytes(), blocks.counts_packed(c[a:b]))):
-                out[k].append(v)
-    return pa.table(out, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+    counts = [np.bincount(g.inverse[n], train[g.row[g.at[n]]], len(g.distinct[n])).astype(np.int64) for n in range(order)]
+    return pa.concat_tables([_questions(t["block"][0].as_py(), n + 1, g.distinct[n], counts[n], n_parts) for n in range(order)])
+
+
+def _questions(block: int, n: int, u: np.ndarray, c: np.ndarray, n_parts: int) -> pa.Table:
+    """Distinct n-grams and their counts, packed for each part that they reach."""
+    cuts = blocks.part_cuts(u, n_parts)
+    full = np.flatnonzero(np.diff(cuts))
+    return pa.table(
+        {
+            "block": pa.array(np.full(len(full), block, np.int64)),
+            "part": pa.array(full.astype(np.int64)),
+            "n": pa.array(np.full(len(full), n, np.int32)),
+            "hashes": pa.array([u[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()),
+            "counts": pa.array([blocks.counts_packed(c[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
+        }
+    )
 
 
 def _total(t: pa.Table) -> pa.Table:
@@ -173,10 +180,16 @@ def vocabulary(rows: DataFrame, n_parts: int) -> tuple[int, int]:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            yield from _ask(t.append_column("block", pa.array(np.zeros(len(t), np.int64))), 1, n_parts).to_batches()
-
-    totals = rows.where("not held_out").select("text", "held_out").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_total, _TOTALS)
+            some, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for lo in range(0, batch.num_rows, 1024):  # few rows at a time, so that memory stays small
+                g = _Grams(plain(batch.column(0).slice(lo, 1024)), 1)
+                some.append(g.distinct[0])
+                counts.append(np.bincount(g.inverse[0], minlength=len(g.distinct[0])))
+            u, inverse = np.unique(np.concatenate(some), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)
+            yield from _questions(0, 1, u, c, n_parts).to_batches()
+
+    totals = rows.where("not held_out").select("text").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_total, _TOTALS)
     got = totals.agg(F.sum("tokens"), F.sum("types")).first()
     return int(got[0] or 0), int(got[1] or 0)
 
