@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.storage import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in spark.checkpoint.dir.
-
-    Only a session without one (tests, local runs) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+__all__ = ["BITMAP_BITS", "bitmap", "cut", "drop_clashes", "in_bitmap", "parts", "shared_dir", "table", "text_bytes", "words_text"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder and cuts its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words_text(text: str = "text") -> Column:

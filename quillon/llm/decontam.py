@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, cut, in_bitmap
-from quillon.llm.textkit import U, list_column, mix64, plain, row_of, span_hashes, window_hashes, words
-from quillon.llm.textkit import _BYTE as BYTE
+from quillon.llm.textkit import BYTE, U, list_column, mix64, plain, row_of, span_hashes, window_hashes, words
 
 WIDTH, MIN_WORDS, MIN_COVER = 8, 5, 0.5
 #: A template must have at least this share of literal words, else it is no evidence.

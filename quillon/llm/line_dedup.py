@@ -21,6 +21,9 @@ Steps
    made, so a key that a third of all lines share costs as much as any other.
 5. The edit distance of a text and the partner it met is verified on the texts.
 
+Texts are told apart by 64-bit hashes; two of n distinct lines are confused with chance
+n * n / 2**65 in all.
+
 Defined results
 * null text: no lines; the row keeps its null.  Rows equal in id and text: one document,
   equal results.  Null ids come first.
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, cut, drop_clashes, in_bitmap
-from quillon.llm.textkit import _BASE_INV, U, mix64, powers
+from quillon.llm.textkit import BASE_INV, U, mix64, powers
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
 MIN_FUZZY = 20
@@ -81,7 +84,7 @@ def deletion_keys(line: str, need: int = 31) -> tuple[np.ndarray, np.ndarray, np
     with np.errstate(over="ignore"):
         s = np.zeros(n + 1, U)
         np.cumsum(mix64(c + U(1)) * p[:n], out=s[1:], dtype=U)
-        without = s[:-1] + (s[-1] - s[1:]) * U(_BASE_INV)
+        without = s[:-1] + (s[-1] - s[1:]) * U(BASE_INV)
         size = U(0xA0761D6478BD642F)
         own = mix64(s[-1:] + U(n) * size)
         gone = mix64(without + U(n - 1) * size)

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(BASE, -1, 1 << 64)
+BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; temporary arrays take about 60 bytes for each.
 CHUNK_BYTES = 1 << 20
 
@@ -38,8 +38,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-_BYTE_LOWER = _BYTE[_LOWER]
+BYTE = mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+_BYTE_LOWER = BYTE[_LOWER]
 _pow = np.ones(1, U)
 _ipow = np.ones(1, U)
 
@@ -51,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         m = max(n, 1 << 16)
         with np.errstate(over="ignore"):
             _pow = np.cumprod(np.concatenate([[U(1)], np.full(m - 1, U(BASE))]), dtype=U)
-            _ipow = np.cumprod(np.concatenate([[U(1)], np.full(m - 1, U(_BASE_INV))]), dtype=U)
+            _ipow = np.cumprod(np.concatenate([[U(1)], np.full(m - 1, U(BASE_INV))]), dtype=U)
     return _pow[:n], _ipow[:n]
 
 
@@ -111,7 +111,7 @@ def words(arr: pa.Array, lower: bool, chunk: int = CHUNK_BYTES) -> Iterator[Word
     if not len(arr):
         return
     offsets, data = _buffers(arr)
-    table = _BYTE_LOWER if lower else _BYTE
+    table = _BYTE_LOWER if lower else BYTE
     r = 0
     while r < len(arr):
         e = max(r + 1, int(np.searchsorted(offsets, offsets[r] + chunk, "right")) - 1)
