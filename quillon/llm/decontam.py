@@ -199,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     templates = cut(items.mapInArrow(_windows(list(range(MIN_WORDS, width + 1)), width, None), _ROWS).distinct())
     widths = sorted(r[0] for r in templates.select("width").distinct().collect())
     bits = bitmap(templates, "hash")
-    hits = _keyed(docs, id_col, text_col).distinct().mapInArrow(_windows(widths, None, bits), _ROWS)
+    hits = _keyed(docs, id_col, text_col).mapInArrow(_windows(widths, None, bits), _ROWS)
     ours = templates.select("hash", "width", F.col("rid").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"))
     both = hits.select("rid", "th", "hash", "width", "pos", "slots").join(ours, ["hash", "width"]).where("size(slots) = size(item_slots)")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
