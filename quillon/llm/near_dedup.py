@@ -239,7 +239,7 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links among classes of large lists: hubs first, then blocks of the lists that hubs do not settle."""
     hub = hot.groupBy("v").agg(F.max(F.struct("share", "cid", "n")).alias("hub"))
     star = hot.join(hub, "v").where(F.col("cid") != F.col("hub.cid")).where(_fits(F.col("n"), F.col("hub.n"), num, den))
@@ -247,10 +247,15 @@ def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den:
     links = cut(links.unionByName(_verified(star, sets, num, den)).distinct())
     comp = components(links)
     rows = hot.join(comp, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid")).select("v", "cid", "n", "comp")
-    open_lists = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    rows = rows.join(open_lists.select("v", "size"), "v")
-    # Blocks of a list: classes of one component stand together, so blocks of one component need no comparison.
-    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("comp", F.shiftright(F.xxhash64("cid"), 56)), F.ceil(F.col("size") / BLOCK)).cast("int")))
+    open_lists = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    # A component that fills blocks has blocks of its own, which need no comparison among
+    # themselves; the other classes share blocks.  So the work is theirs times the list.
+    sizes = cut(rows.join(open_lists, "v").groupBy("v", "comp").agg(F.count(F.lit(1)).alias("own")))
+    small = sizes.where(F.col("own") < block).groupBy("v").agg(F.sum("own").alias("others"))
+    rows = rows.join(sizes, ["v", "comp"]).join(small, "v", "left")
+    apart = F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.ceil(F.col("own") / block)))
+    shared = F.pmod(F.xxhash64("cid"), F.ceil(F.col("others") / block))
+    rows = cut(rows.select("v", "cid", "n", "comp", F.when(F.col("own") >= block, apart).otherwise(shared).alias("block")))
     blocks = rows.groupBy("v", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.block") <= F.col("y.block")))
@@ -263,7 +268,7 @@ def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den:
     return links.unionByName(more.distinct())
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ngram: int, k: int, cap: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ngram: int, k: int, cap: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, n, cid), and (cid, component_id) of the classes with a shingle."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     marked = rows.mapInArrow(_class_rows(ngram, 0), "id long, th long, n long, cid long")
@@ -288,16 +293,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ng
     sets = cut(classes.where(F.col("n") <= k).join(need.select("cid"), "cid").select("cid", "vals").unionByName(long_ones))
     links = likely.where("sure").select("a", "b").unionByName(_verified(likely.where("not sure").select("a", "b"), sets, num, den))
     if not hot.isEmpty():
-        links = _hot_links(hot, sets, links, num, den)
+        links = _hot_links(hot, sets, links, num, den, block)
     comp = components(links)
     named = classes.select("cid", "label").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "label", "comp")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("label").alias("least"))
     return marked, named.join(least, "comp", "left").select("cid", F.when(F.col("comp").isNull(), F.col("label")).otherwise(F.col("least")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, k: int = SKETCH, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, k: int = SKETCH, cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """Per row: id, th (hash of its text), n_shingles, component_id, kept."""
-    marked, named = _classes(docs, id_col, text_col, num, den, ngram, k, cap)
+    marked, named = _classes(docs, id_col, text_col, num, den, ngram, k, cap, block)
     out = marked.join(named, "cid", "left")
     comp = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))

@@ -50,15 +50,15 @@ def corpus(rng, groups, sizes, length, edits):
     return out
 
 
-@pytest.mark.parametrize("cap,k", [(64, 128), (4, 16), (3, 128)])
-def test_against_brute_force(spark, cap, k):
+@pytest.mark.parametrize("cap,k,block", [(64, 128, 512), (4, 16, 512), (3, 128, 512), (3, 128, 5)])
+def test_against_brute_force(spark, cap, k, block):
     rng = random.Random(cap * k)
     texts = corpus(rng, 14, [1, 2, 3, 12], [4, 30, 60, 200], 3) + corpus(rng, 1, [70], [80], 4)
     texts += ["", None, "  \t", "one two", "ONE two", "One two three", "A b c d e f", "a B c d e f", "word " * 3000]
     ids = rng.sample(range(10**6), len(texts))
     rows = list(zip(ids, texts))
     df = spark.createDataFrame([(*r, "x") for r in rows + [rows[3]]], SCHEMA).repartition(4)
-    got = near_duplicates(df, k=k, cap=cap).collect()
+    got = near_duplicates(df, k=k, cap=cap, block=block).collect()
     assert len(got) == len(rows) + 1
     want = brute(rows)
     if k == 128:
