@@ -88,3 +88,22 @@ def packed(bits: Column, dims: int) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Bits that differ between two packed arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def unpacked(words: Column, dims: int) -> Column:
+    """The bits of a packed array, low bit first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.floor(F.get(words, F.floor(i / 32).cast("int")) / F.pow(F.lit(2.0), F.pmod(i, F.lit(32)))), F.lit(2)).cast("int"))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """How many elements of two code arrays differ: Hamming distance by whole codes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def smallest(a: Column, k: int) -> Column:
+    """The k smallest values of a row, in order."""
+    return F.slice(F.sort_array(a), 1, k)
+
+
+def largest(a: Column, k: int) -> Column:
+    return F.slice(F.sort_array(a, asc=False), 1, k)

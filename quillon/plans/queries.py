@@ -421,11 +421,14 @@ def lsh_trained(spark, sf_dir):
     return shown(codecs.SignHash.train(b, 32).search(b, asks(spark, sf_dir), K))
 
 
+def _bits_of(spark, sf_dir):
+    b = base(spark, sf_dir).withColumn("vec", codecs.as_numbers(V.sign_bits(F.col("vec"))))
+    return b, asks(spark, sf_dir).withColumn("qvec", codecs.as_numbers(V.sign_bits(F.col("qvec"))))
+
+
 @query(knn("l1", K, _SIGN))
 def binary_knn(spark, sf_dir):
-    b = base(spark, sf_dir).withColumn("vec", codecs.as_numbers(V.sign_bits(F.col("vec"))))
-    q = asks(spark, sf_dir).withColumn("qvec", codecs.as_numbers(V.sign_bits(F.col("qvec"))))
-    return shown(exact.knn_join(b, q, K, "l1"))
+    return shown(exact.knn_join(*_bits_of(spark, sf_dir), K, "l1"))
 
 
 def _packed(spark, sf_dir):
@@ -439,16 +442,13 @@ _BITS = f"WITH {QB}, q2 AS (SELECT qid, {_SIGN.format('qv')} AS qv FROM q), b2 A
 
 @query(f"{_BITS} SELECT qid, id, h AS hamming FROM h WHERE h < 24")
 def binary_range(spark, sf_dir):
-    b, q = _packed(spark, sf_dir)
-    h = V.hamming(F.col("words"), F.col("qwords")).cast("long")
-    return q.join(b, h < 24).select("qid", "id", h.alias("hamming"))
+    return exact.range_join(*_bits_of(spark, sf_dir), 24, "l1").select("qid", "id", F.col("dist").cast("long").alias("hamming"))
 
 
 @query(f"{_BITS} SELECT qid, count(*) FILTER (WHERE h <= 26) AS n FROM h GROUP BY qid")
 def hamming_count(spark, sf_dir):
-    b, q = _packed(spark, sf_dir)
-    h = V.hamming(F.col("words"), F.col("qwords"))
-    counts = q.join(b, h <= 26).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    b, q = _bits_of(spark, sf_dir)
+    counts = exact.range_join(b, q, 26, "l1", inclusive=True).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     return q.select("qid").join(counts, "qid", "left").na.fill(0)
 
 
@@ -593,3 +593,95 @@ def _factory(name: str, description: str, **options):
 _factory("factory_opq_ivfpq", "OPQ8,IVF16,PQ8x4,RFlat", nprobe=8)
 _factory("factory_pca_sq8", "PCA32,SQ8,RFlat")
 _factory("factory_itq_lsh", "ITQ32,LSH32,RFlat")
+
+
+# --- combinations -----------------------------------------------------------------------
+
+
+def _half(h: int) -> str:
+    cut = "v[1:32]" if h == 0 else "v[33:64]"
+    return f"b{h} AS MATERIALIZED (SELECT id, {cut} AS v FROM b), {O.lloyd(4, ITER, f'b{h}', f'h{h}', 32)}"
+
+
+@query(
+    f"WITH {QB}, {_half(0)}, {_half(1)}, p AS MATERIALIZED (SELECT * FROM (SELECT qid, x.cid AS x, y.cid AS y, row_number() OVER (PARTITION BY qid ORDER BY round({l2('qv[1:32]', 'x.c')} + {l2('qv[33:64]', 'y.c')}, 9), x.cid * 4 + y.cid) AS probe FROM q, h0{ITER} x, h1{ITER} y) WHERE probe <= 4) "
+    + ranked(f"SELECT p.qid, b.id, {l2('qv', 'v')} AS dist FROM p JOIN q USING (qid) JOIN h0a{ITER} a ON a.cid = p.x JOIN h1a{ITER} c ON c.cid = p.y AND c.id = a.id JOIN b ON b.id = a.id", K)
+)
+def multi_index(spark, sf_dir):
+    from quillon.operators.multi import MultiIndex
+
+    return shown(MultiIndex.build(base(spark, sf_dir), 4, ITER).search(asks(spark, sf_dir), K, 4))
+
+
+@query(knn("l2", K))
+def split_vectors(spark, sf_dir):
+    from quillon.operators.multi import split_search
+
+    return shown(split_search(base(spark, sf_dir), asks(spark, sf_dir), K, [16, 16, 32]))
+
+
+@query(f"WITH {QB}, d AS (SELECT id, v FROM b UNION ALL SELECT id + 5000, v FROM b WHERE id % 4 = 0) " + ranked(f"SELECT qid, id, {l2('qv', 'v')} AS dist FROM q, d", K))
+def ivf_flat_dedup(spark, sf_dir):
+    b = base(spark, sf_dir).select("id", "vec")
+    distinct = mutate.dedup_vectors(mutate.merge(b, b.where("id % 4 = 0"), 5000))
+    found = IvfIndex.build(distinct.select("id", "vec"), NLIST, 1).search(asks(spark, sf_dir), K, NLIST)
+    return shown(top_k(mutate.expand_instances(found, distinct), K)).select("qid", "rank", "id", "dist")
+
+
+@query(f"{_BITS} SELECT h AS hamming, count(*) AS n FROM h GROUP BY h")
+def hamming_histogram(spark, sf_dir):
+    every = exact.range_join(*_bits_of(spark, sf_dir), 64, "l1", inclusive=True)
+    return every.groupBy(F.col("dist").cast("long").alias("hamming")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {QB} SELECT id, round(list_sort(v)[1], 6) AS lo, round(list_sort(v)[3], 6) AS third, round(list_reverse_sort(v)[2], 6) AS second FROM b")
+def row_extremes(spark, sf_dir):
+    lo, hi = V.smallest(F.col("vec"), 3), V.largest(F.col("vec"), 2)
+    return base(spark, sf_dir).select("id", F.round(lo[0], 6).alias("lo"), F.round(lo[2], 6).alias("third"), F.round(hi[1], 6).alias("second"))
+
+
+@query(
+    f"WITH {QB}, {O.lloyd(8, 2, 'b', 'f')}, r AS MATERIALIZED (SELECT id, list_transform(list_zip(v, c), lambda z: z[1]-z[2]) AS v FROM b JOIN fa2 a USING (id) JOIN f2 c ON c.cid = a.cid), {O.lloyd(8, 2, 'r', 'g')} "
+    "SELECT a.id, a.cid::INTEGER AS first, g.cid::INTEGER AS second FROM fa2 a JOIN ga2 g USING (id)"
+)
+def residual_quantizer(spark, sf_dir):
+    from quillon.operators.additive import AdditiveQuantizer
+
+    b = base(spark, sf_dir)
+    codes = AdditiveQuantizer.train(b, 2, 8, 2).encode(b)
+    byte = lambda i: F.conv(F.hex(F.substring("code", i, 1)), 16, 10).cast("int")
+    return codes.select("id", byte(1).alias("first"), byte(2).alias("second"))
+
+
+@query(f"WITH {QB} SELECT qid, id, round({l2('qv', 'v')}, 6) AS l2, round({O.METRIC_SQL['cosine']('qv', 'v')}, 6) AS cosine, round({O.METRIC_SQL['linf']('qv', 'v')}, 6) AS linf FROM q, b WHERE (qid + id) % 40 = 0")
+def sql_functions(spark, sf_dir):
+    from quillon.functions.sql import register
+
+    register(spark)
+    base(spark, sf_dir).createOrReplaceTempView("_base")
+    asks(spark, sf_dir).createOrReplaceTempView("_asks")
+    return spark.sql("SELECT qid, id, round(vec_l2(qvec, vec), 6) AS l2, round(vec_cosine(qvec, vec), 6) AS cosine, round(vec_linf(qvec, vec), 6) AS linf FROM _asks JOIN _base ON (qid + id) % 40 = 0")
+
+
+@query()
+def local_search_quantizer(spark, sf_dir):
+    from quillon.operators.additive import AdditiveQuantizer
+
+    b = base(spark, sf_dir)
+    q = AdditiveQuantizer.train(b, 4, 16, 2, beam=4, rounds=2)
+    return shown(q.search(q.encode(b), asks(spark, sf_dir), K))
+
+
+@query()
+def two_level_codes(spark, sf_dir):
+    from quillon.operators.multi import TwoLevelCodes
+
+    return shown(TwoLevelCodes.build(base(spark, sf_dir), 8, 8, 16, fine_m=8, iterations=2).search(asks(spark, sf_dir), K))
+
+
+@query()
+def offline_job(spark, sf_dir):
+    from quillon.plans.offline import run
+
+    r = run(base(spark, sf_dir), asks(spark, sf_dir), NLIST, 8, K)
+    return shown(r.results)
