@@ -9,6 +9,7 @@ order of summation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,27 @@ def lloyd(base: DataFrame, centroids: np.ndarray, iterations: int = 10, tol: flo
     return centroids, objective
 
 
+def drawn(base: DataFrame, n: int, seed: int) -> np.ndarray:
+    """n vectors drawn by a hash of the id and the seed."""
+    rows = base.select("id", F.col("vec").cast("array<double>").alias("vec")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).collect()
+    return np.array([r["vec"] for r in rows], float).reshape(len(rows), -1)
+
+
+def kmeans(base: DataFrame, k: int, iterations: int = 25, redo: int = 1, seed: int = 1234, per_centroid: int = 256, spherical: bool = False, whole_numbers: bool = False) -> tuple[np.ndarray, list[float]]:
+    """The best of `redo` runs from drawn seeds, on about per_centroid rows a centroid (a documented bound), splitting empty clusters."""
+    n = base.count()
+    if n < k:
+        raise ValueError(f"{n} rows cannot make {k} clusters")
+    share = min(1.0, per_centroid * k / n)
+    rows = base if share == 1.0 else base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    best: tuple[np.ndarray, list[float]] | None = None
+    for r in range(redo):
+        c, loss = lloyd(rows, drawn(rows, k, seed + r), iterations, empty="split", spherical=spherical)
+        if best is None or loss[-1] < best[1][-1]:
+            best = (np.round(c) if whole_numbers else c, loss)
+    return best
+
+
 def assign(base: DataFrame, centroids: np.ndarray, spherical: bool = False, keep: tuple[str, ...] = ("id", "vec")) -> DataFrame:
     """base with cid int and cdist double."""
     rows = base.select(*keep)

@@ -120,6 +120,64 @@ def node_levels(ids: np.ndarray, m: int) -> np.ndarray:
     return np.floor(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53) / np.log(m)).astype(int)
 
 
+def navigating(x: np.ndarray, ids: np.ndarray, r: int, pool: int, kernel) -> tuple[SmallWorld, int]:
+    """One flat layer: of each row's `pool` nearest, up to r that no chosen one is nearer to; links both ways; entered at the row nearest the mean.
+
+    Rows that the entry cannot reach are linked from the nearest row that it can.
+    """
+    g = SmallWorld(x, np.zeros(len(ids), int), r, kernel)
+    n = len(ids)
+    for lo in range(0, n, 256):
+        d = kernel(x[lo : lo + 256], x)
+        for i in range(lo, min(lo + 256, n)):
+            row = d[i - lo]
+            near = [int(j) for j in np.lexsort((ids, row))[: pool + 1] if j != i][:pool]
+            g.links[0][i] = g._choose([(float(row[j]), j) for j in near], r)
+    for i in range(n):
+        for j in list(g.links[0][i]):
+            if i not in g.links[0][j] and len(g.links[0][j]) < 2 * r:
+                g.links[0][j].append(i)
+    g.entry = int(kernel(x.mean(0)[None], x)[0].argmin()) if n else -1
+    seen = np.zeros(n, bool)
+    open_ = [g.entry] if n else []
+    while True:
+        while open_:
+            i = open_.pop()
+            if not seen[i]:
+                seen[i] = True
+                open_ += [j for j in g.links[0][i] if not seen[j]]
+        left = np.flatnonzero(~seen)
+        if not len(left):
+            return g, g.entry
+        i, inside = int(left[0]), np.flatnonzero(seen)
+        g.links[0][int(inside[kernel(x[i][None], x[inside])[0].argmin()])].append(i)
+        open_ = [i]
+
+
+def navigating_search(base: DataFrame, queries: DataFrame, k: int, r: int = 32, pool: int = 64, ef: int = 64, shards: int | None = None, metric_name: str = "l2") -> DataFrame:
+    """(qid, rank, id, dist) over a pruned navigating graph of each shard, built and asked in one task."""
+    n = shards or max(1, -(-base.count() // SHARD_ROWS))
+    rows = base.select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"))
+    kernel = metric(metric_name).kernel
+
+    def asking(qids: np.ndarray, q: np.ndarray):
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("id")
+            ids, x = t["id"].to_numpy(), matrix(t["vec"])
+            g, _ = navigating(x, ids, r, pool, kernel)
+            out = [(int(a), int(ids[j]), float(d)) for a, v in zip(qids, q) for d, j in g.search(v, k, ef)]
+            a, b, c = zip(*out) if out else ((), (), ())
+            return pa.table({"qid": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
+
+        return run
+
+    out = None
+    for qids, q in query_blocks(queries):
+        part = rows.groupBy("shard").applyInArrow(asking(qids, q), "qid long, id long, dist double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k).select("qid", "rank", "id", "dist")
+
+
 @dataclass
 class GraphIndex:
     """rows(id, vec, shard) and edges(shard, level, node, nbr) of ids."""

@@ -572,6 +572,11 @@ def hnsw_search(spark, sf_dir):
     return shown(graph.GraphIndex.build(base(spark, sf_dir), 16, 100, shards=2).search(asks(spark, sf_dir), K, 64))
 
 
+@query()
+def navigating_graph(spark, sf_dir):
+    return shown(graph.navigating_search(base(spark, sf_dir), asks(spark, sf_dir), K, 16, 40, 64, shards=2))
+
+
 @query()
 def ivf_hnsw(spark, sf_dir):
     b, q = base(spark, sf_dir), asks(spark, sf_dir)

@@ -84,6 +84,19 @@ def test_graph(base, asks, truth):
     assert all(r["id"] % 2 == 1 for r in odd.collect()) and odd.count() == 200
 
 
+def test_navigating_graph(base, asks, truth):
+    found = graph.navigating_search(base, asks, 10, 16, 60, 80, shards=2)
+    assert evaluate.recall_at_k(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_kmeans_runs(base):
+    c, loss = cluster.kmeans(base, 8, 5, redo=2, per_centroid=40)
+    assert c.shape == (8, 64) and loss[-1] <= loss[0]
+    assert (cluster.kmeans(base, 4, 2, whole_numbers=True)[0] % 1 == 0).all()
+    with pytest.raises(ValueError):
+        cluster.kmeans(base, 1000)
+
+
 def test_nn_descent_recall(base):
     true, got = graph.knn_graph(base, 5), graph.nn_descent(base, 5, rounds=3)
     n = got.select("id", "nbr").join(true.select("id", "nbr"), ["id", "nbr"]).count()
