@@ -109,4 +109,49 @@ e AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, spe
 SELECT conv_id, speaker, block, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS rendered,
        coalesce(string_agg(((upto - length(body))::BIGINT)::VARCHAR || ':' || (upto::BIGINT)::VARCHAR, '|' ORDER BY k) FILTER (WHERE masked), '') AS mask_spans
 FROM e GROUP BY conv_id, speaker, block""",
+    "op3_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.m = e.x),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op4_line_dedup": r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+t AS MATERIALIZED (
+  SELECT line, min((doc_id, no)) AS place, length(line) AS n FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY line),
+k AS MATERIALIZED (
+  SELECT line, place, n, unnest([(0, n, line[1:n // 2]), (1, n, line[n // 2 + 1:]), (0, n - 1, line[1:(n - 1) // 2]), (1, n - 1, line[(n - 1) // 2 + 2:])]) AS key FROM t WHERE n >= 20),
+p AS (SELECT DISTINCT a.line, a.n, b.line AS other, b.place FROM k a JOIN k b ON a.key = b.key AND b.place < a.place),
+v AS (
+  SELECT line, min(place) AS near FROM p WHERE
+    CASE WHEN n = length(other) THEN len(list_filter(range(1, n + 1), lambda i: line[i] <> other[i])) = 1
+         WHEN n = length(other) + 1 THEN len(list_filter(range(1, n + 1), lambda i: line[1:i - 1] || line[i + 1:] = other)) > 0
+         WHEN n = length(other) - 1 THEN len(list_filter(range(1, n + 2), lambda i: other[1:i - 1] || other[i + 1:] = line)) > 0
+         ELSE false END
+  GROUP BY line),
+g AS (
+  SELECT l.doc_id, l.no, l.line, t.line IS NOT NULL AND least(t.place, coalesce(v.near, t.place)) < (l.doc_id, l.no) AS gone
+  FROM l LEFT JOIN t ON t.line = l.line LEFT JOIN v ON v.line = l.line),
+o AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o USING (doc_id)""",
+    "op10_substring_dedup": r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM x GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM x JOIN f USING (k) WHERE (doc_id, i) > first),
+a AS (SELECT doc_id, j, ws[j] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+o AS (
+  SELECT a.doc_id, count(*) AS n_words, count(g.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY a.j) FILTER (WHERE g.j IS NULL), '') AS kept
+  FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o USING (doc_id)""",
 }
