@@ -13,7 +13,6 @@ frequent is one entry a block, so it cannot make a part large.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ def by_range(docs: DataFrame, n_blocks: int, id_col: str) -> DataFrame:
 
     Block edges are approximate quantiles of the ids: a few bytes a block on the driver.
     """
+    from pyspark.ml.feature import Bucketizer  # here, so that tasks do not load it
+
     edges: list[float] = []
     if n_blocks > 1:
         got = docs.agg(F.percentile_approx(F.col(id_col).cast("double"), [k / n_blocks for k in range(1, n_blocks)], max(1000, 20 * n_blocks))).first()[0]
