@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from quillon.storage import cut, shared_dir
 
-__all__ = ["BITMAP_BITS", "bitmap", "cut", "drop_clashes", "in_bitmap", "parts", "shared_dir", "table", "text_bytes", "words_text"]
+__all__ = ["BITMAP_BITS", "bitmap", "cut", "drop_clashes", "in_bitmap", "parts", "shared_dir", "spread", "table", "text_bytes", "words_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt out, so that all cores share costly work on its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words_text(text: str = "text") -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, chat, decontam, exact_dedup, langid, line_dedup, lm, near_dedup, sharding, substring
-from quillon.llm.common import table, words_text
+from quillon.llm.common import spread, table, words_text
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,12 +21,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that contaminates it; documents without a row are clean."""
-    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontam.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("rid").alias("doc_id"), F.col("item").alias("item_id"), "cover", "n_slots", "reparameterised", F.lit(False).alias("kept"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +37,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(5) == 0).alias("held_out"))
     dictionaries = langid.fit(docs.where("not held_out and lang is not null"))
-    out = langid.classify(docs.select("doc_id", "text", "held_out"), dictionaries)
+    out = langid.classify(spread(docs.select("doc_id", "text", "held_out")), dictionaries)
     return out.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = bpe.bpe(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, packed=True)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
