@@ -9,10 +9,12 @@ words; windows of both views count.
 
 Templates of documents are joined with those of benchmark items by hash.  Before the
 shuffle a fixed 2 MB bitmap of the items' templates drops most windows (it never drops a
-match).  Matches are grouped by (document, item, offset); an offset counts only if its
-slots are consistent: each item value stands for one document value of its type and the
-other way round.  A document is contaminated by an item when consistent matches cover at
-least `min_cover` of the item's words.
+match).  Matches are grouped by (document, item, offset); of an offset's windows those
+count that are consistent, so that each item value stands for one document value of its
+type (two item values may get the same one).  Where windows contradict each other, the
+consistent ones that cover most words are kept; a window without the slot in question
+never goes.  A document is contaminated by an item when consistent matches cover at least
+`min_cover` of the item's words.
 
 Defined results
 * null or empty documents and items match nothing; items of fewer than `min_words` words
@@ -38,6 +40,8 @@ from quillon.llm.textkit import BYTE, U, list_column, mix64, plain, row_of, span
 WIDTH, MIN_WORDS, MIN_COVER = 8, 5, 0.5
 #: A template must have at least this share of literal words, else it is no evidence.
 MIN_LITERAL = 0.5
+#: Steps of the search for the largest consistent set.  Past them every window counts that does not contradict itself.
+MAX_STEPS = 2000
 
 #: Words that are units when they follow a number.
 UNITS = (
@@ -115,26 +119,28 @@ class Canonical:
         self.named = np.where(name, NAME, self.typed)
         self.first = np.searchsorted(self.row, np.arange(len(low.first)))
 
-    def templates(self, width: int, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and hashes of the windows of one view, and the kinds of its words."""
+    def templates(self, width: int, view: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of one view."""
         kind = self.named if view else self.typed
         h = window_hashes(np.where(kind > 0, mix64(kind), self.value), width)
         if not len(h):
-            return np.zeros(0, np.int64), h, kind
+            return np.zeros(0, np.int64), h
         slots = np.concatenate([[0], np.cumsum(kind > 0)])
         count = slots[width:] - slots[:-width]
         ok = np.flatnonzero((self.row[: len(h)] == self.row[width - 1 :]) & (count <= width * (1 - MIN_LITERAL)))
-        return ok, mix64(h[ok] + U(view * 1000 + width)), kind
+        return ok, mix64(h[ok] + U(view * 1000 + width))
 
 
-_ROWS = "rid long, th long, pos int, width int, hash long, slots array<long>, n_words int"
+_ROWS = "rid long, th long, pos int, width int, hash long, words array<long>, keys array<long>, n_words int"
 
 
 def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
     """mapInArrow function from (rid, th, text) to template rows.
 
     With `whole` (benchmark items) an item's width is min(whole, its words) and all rows
-    come; else windows of all `widths` come, if the bitmap has them.
+    come; else windows of all `widths` come, if the bitmap has them.  `words` are the values
+    of a window's words, `keys` name the slots among them by type and value, 0 is none; a name
+    that a view keeps as a word has its key, too, for it stands for itself there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,7 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                 size = np.diff(c.first)
                 for width in widths:
                     for view in (0, 1):
-                        at, h, kind = c.templates(width, view)
+                        at, h = c.templates(width, view)
                         row = c.row[at]
                         good = size[row] >= MIN_WORDS
                         good &= np.minimum(size[row], whole) == width if whole else in_bitmap(bits, h)
@@ -154,8 +160,9 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                         if not len(at):
                             continue
                         near = at[:, None] + np.arange(width)
-                        is_slot = kind[near] > 0
-                        values = mix64(c.value[near] ^ kind[near])[is_slot].view(np.int64)
+                        slot = c.named[near]
+                        keys = np.where(slot > 0, mix64(c.value[near] ^ slot), U(0))
+                        size_of = np.full(len(at), width)
                         take = pa.array(row + a.rows.start)
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -164,10 +171,11 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                                 pa.array((at - c.first[row]).astype(np.int32)),
                                 pa.array(np.full(len(at), width, np.int32)),
                                 pa.array(h.view(np.int64)),
-                                list_column(values, is_slot.sum(axis=1), pa.int64()),
+                                list_column(c.value[near].ravel().view(np.int64), size_of, pa.int64()),
+                                list_column(keys.ravel().view(np.int64), size_of, pa.int64()),
                                 pa.array(size[row].astype(np.int32)),
                             ],
-                            names=["rid", "th", "pos", "width", "hash", "slots", "n_words"],
+                            names=["rid", "th", "pos", "width", "hash", "words", "keys", "n_words"],
                         )
 
     return run
@@ -189,6 +197,43 @@ def _pairs(text: pa.Array, low: pa.Array):
         yield replace(p, rows=range(r, r + 1)), q
 
 
+def _consistent(windows):
+    """Indices of the windows (at, width, pairs of key i and value d) that give each item value one document value and cover most words.
+
+    Branch and bound over the values in conflict; of equal sets the first by a fixed order.  None stays None.
+    """
+    if windows is None:
+        return None
+    live, values, words_of, same = [], {}, {}, {(p["i"], p["d"]) for w in windows for p in w["pairs"] if p["same"]}
+    for j in sorted(range(len(windows)), key=lambda j: (windows[j]["at"], windows[j]["width"], [tuple(p) for p in windows[j]["pairs"]])):
+        m: dict[int, int] = {}
+        if all(m.setdefault(p["i"], p["d"]) == p["d"] for p in windows[j]["pairs"]):
+            live.append(j)
+            values[j], words_of[j] = m, ((1 << windows[j]["width"]) - 1) << windows[j]["at"]
+    best, kept, steps, stack = -1, live, 0, [live]
+    while stack:
+        some = stack.pop()
+        cover, options = 0, {}
+        for j in some:
+            cover |= words_of[j]
+            for i, d in values[j].items():
+                at = options.setdefault(i, {})
+                at[d] = at.get(d, 0) | words_of[j]
+        if cover.bit_count() <= best:
+            continue
+        steps += 1
+        if steps > MAX_STEPS:
+            return live
+        split = [i for i, at in options.items() if len(at) > 1]
+        if not split:
+            best, kept = cover.bit_count(), some
+            continue
+        i = max(split, key=lambda i: (sum(m.bit_count() for m in options[i].values()), i))
+        for d in sorted(options[i], key=lambda d: (options[i][d].bit_count(), (i, d) in same, d)):  # the most promising is popped first
+            stack.append([j for j in some if values[j].get(i, d) == d])
+    return kept
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("rid"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -200,19 +245,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     widths = sorted(r[0] for r in templates.select("width").distinct().collect())
     bits = bitmap(templates, "hash")
     hits = _keyed(docs, id_col, text_col).mapInArrow(_windows(widths, None, bits), _ROWS)
-    ours = templates.select("hash", "width", F.col("rid").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"))
-    both = hits.select("rid", "th", "hash", "width", "pos", "slots").join(ours, ["hash", "width"]).where("size(slots) = size(item_slots)")
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = both.groupBy("rid", "th", "item", "item_th", "item_words", (F.col("pos") - F.col("at")).alias("offset")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)))).alias("covered"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-    )
-    size_of = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda p: p[field])))
-    fair = lines.where((F.size("pairs") == size_of("i")) & (F.size("pairs") == size_of("d")))
+    ours = templates.select("hash", "width", F.col("rid").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("at"), F.col("words").alias("item_values"), "keys", F.col("n_words").alias("item_words"))
+    both = hits.select("rid", "th", "hash", "width", "pos", "words").join(ours, ["hash", "width"])
+    zipped = F.filter(F.arrays_zip(F.col("keys").alias("i"), F.col("words").alias("d"), F.col("item_values").alias("v")), lambda p: p["i"] != 0)
+    pairs = F.transform(zipped, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), (p["d"] == p["v"]).alias("same")))
+    lines = both.groupBy("rid", "th", "item", "item_th", "item_words", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set(F.struct("at", "width", pairs.alias("pairs"))).alias("windows"))
+    pairs_of = lambda: F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"])))
+    clash = F.size(pairs_of()) > F.size(F.array_distinct(F.transform(pairs_of(), lambda p: p["i"])))
+    kept = lines.withColumn("keep", F.udf(_consistent, "array<int>")(F.when(clash, F.col("windows"))))
+    kept = kept.withColumn("windows", F.when(F.col("keep").isNull(), F.col("windows")).otherwise(F.transform("keep", lambda j: F.get("windows", j))))
+    covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1))))
+    fair = kept.select("rid", "th", "item", "item_th", "item_words", covered.alias("covered"), pairs_of().alias("pairs"))
     out = fair.groupBy("rid", "th", "item", "item_th", "item_words").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"),
         F.max(F.size("pairs")).cast("long").alias("n_slots"),
-        F.max(F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"),
+        F.max(F.exists("pairs", lambda p: ~p["same"])).alias("reparameterised"),
     )
     return out.withColumn("cover", F.col("n") / F.col("item_words")).where(F.col("cover") >= min_cover).select("rid", "th", "item", "cover", "n_slots", "reparameterised").distinct()
 

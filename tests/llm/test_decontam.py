@@ -47,3 +47,37 @@ def test_short_items_and_empty(spark):
     none = spark.createDataFrame([], ITEM)
     assert decontaminate(spark.createDataFrame([(1, Q, "a")], DOC), none).count() == 1
     assert decontaminate(spark.createDataFrame([], DOC), spark.createDataFrame([(1, Q)], ITEM)).collect() == []
+
+
+def test_conflict_drops_only_its_windows(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    for i in (20, 90, 160):
+        words[i] = "3"
+    changed = [*words[:90], "4", *words[91:]]
+    noun = " ".join(["Haus" if w == "3" else w for w in words])
+    other = " ".join(["Dorf" if i == 90 else w for i, w in enumerate(noun.split())])
+    shop = "the shop sold 12 red pens to one man and then sold 3 blue pens to his son before it closed"
+    same = shop.replace("12", "5").replace(" 3 ", " 5 ")
+    got = found(spark, [(1, " ".join(changed)), (2, other), (3, same)], [(10, " ".join(words)), (20, noun), (30, shop)])
+    assert got[1, 10]["cover"] >= 0.99 and got[2, 20]["cover"] >= 0.99  # all but the changed word
+    assert got[3, 30]["cover"] == 1.0 and got[3, 30]["reparameterised"]  # two values may become one
+    back = found(spark, [(1, shop)], [(1, same)])  # one value never becomes two: only part of the windows count
+    assert back.get((1, 1), {"cover": 0})["cover"] < 1.0
+
+
+def test_largest_consistent_set():
+    from itertools import combinations
+    from random import Random
+
+    from pyspark.sql import Row
+
+    from quillon.llm.decontam import _consistent
+
+    r = Random(4)
+    for _ in range(60):
+        ws = [{"at": r.randrange(12), "width": 3, "pairs": [Row(i=i, d=d, same=i == d) for i, d in [(r.randrange(4), r.randrange(3)) for _ in range(r.randrange(3))]]} for _ in range(8)]
+        fair = lambda c: len({(p["i"], p["d"]) for j in c for p in ws[j]["pairs"]}) == len({p["i"] for j in c for p in ws[j]["pairs"]})
+        cover = lambda c: len({x for j in c for x in range(ws[j]["at"], ws[j]["at"] + 3)})
+        kept = _consistent(ws)
+        assert fair(kept) and cover(kept) == max(cover(c) for n in range(9) for c in combinations(range(8), n) if fair(c))
+    assert _consistent(None) is None
