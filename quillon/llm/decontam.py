@@ -5,7 +5,7 @@ Words lose punctuation at their ends and case.  Numbers, units after a number, a
 Every window of `width` canonical words is a template; a question that was
 re-parameterised keeps its templates and changes its slots.  Names are a guess, and text
 in capitals has none, so each text is also read in a second view in which names stay
-words; windows of both views count.
+words, and in a third in which every word stays itself; windows of all views count.
 
 Templates of documents are joined with those of benchmark items by hash.  Before the
 shuffle a fixed 2 MB bitmap of the items' templates drops most windows (it never drops a
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, cut, in_bitmap
-from quillon.llm.textkit import BYTE, U, list_column, mix64, plain, row_of, span_hashes, window_hashes, words
+from quillon.llm.textkit import BYTE, U, list_column, mix64, plain, row_of, span_hashes, words
 
 WIDTH, MIN_WORDS, MIN_COVER = 8, 5, 0.5
-#: A template must have at least this share of literal words, else it is no evidence.
+#: A template of a view with placeholders must have at least this share of literal words, else it is no evidence.
 MIN_LITERAL = 0.5
 #: Steps of the search for the largest consistent set.  Past them every window counts that does not contradict itself.
 MAX_STEPS = 2000
@@ -117,18 +117,20 @@ class Canonical:
             name = np.zeros(0, bool)
         self.typed = np.where(number, NUM, np.where(unit, UNIT, U(0)))
         self.named = np.where(name, NAME, self.typed)
+        self.views = (np.zeros(len(keep), U), self.typed, self.named)
         self.first = np.searchsorted(self.row, np.arange(len(low.first)))
 
     def templates(self, width: int, view: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows of one view."""
-        kind = self.named if view else self.typed
-        h = window_hashes(np.where(kind > 0, mix64(kind), self.value), width)
-        if not len(h):
-            return np.zeros(0, np.int64), h
-        slots = np.concatenate([[0], np.cumsum(kind > 0)])
-        count = slots[width:] - slots[:-width]
-        ok = np.flatnonzero((self.row[: len(h)] == self.row[width - 1 :]) & (count <= width * (1 - MIN_LITERAL)))
-        return ok, mix64(h[ok] + U(view * 1000 + width))
+        """Places and hashes of the windows of one view that no view before it has; view 0 keeps all words."""
+        if len(self.row) < width:
+            return np.zeros(0, np.int64), np.zeros(0, U)
+        ok = self.row[: len(self.row) - width + 1] == self.row[width - 1 :]
+        kind = self.views[view]
+        if view:
+            within = lambda m: (t := np.concatenate([[0], np.cumsum(m)]))[width:] - t[:-width]
+            ok &= (within(kind > 0) <= width * (1 - MIN_LITERAL)) & (within(kind != self.views[view - 1]) > 0)
+        at = np.flatnonzero(ok)
+        return at, span_hashes(np.where(kind > 0, mix64(kind), self.value), at, at + width)
 
 
 _ROWS = "rid long, th long, pos int, width int, hash long, words array<long>, keys array<long>, n_words int"
@@ -151,7 +153,7 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                 c = Canonical(a, b)
                 size = np.diff(c.first)
                 for width in widths:
-                    for view in (0, 1):
+                    for view in range(len(c.views)):
                         at, h = c.templates(width, view)
                         row = c.row[at]
                         good = size[row] >= MIN_WORDS
@@ -160,7 +162,7 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                         if not len(at):
                             continue
                         near = at[:, None] + np.arange(width)
-                        slot = c.named[near]
+                        slot = c.views[-1][near]
                         keys = np.where(slot > 0, mix64(c.value[near] ^ slot), U(0))
                         size_of = np.full(len(at), width)
                         take = pa.array(row + a.rows.start)

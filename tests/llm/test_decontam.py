@@ -81,3 +81,11 @@ def test_largest_consistent_set():
         kept = _consistent(ws)
         assert fair(kept) and cover(kept) == max(cover(c) for n in range(9) for c in combinations(range(8), n) if fair(c))
     assert _consistent(None) is None
+
+
+def test_copies_of_items_full_of_numbers(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2 + 9?"), (2, "Continue: 2 4 8 16 32 64 128 256 512 1024 2048"), (3, "Row 1 2 3 sum 6, row 4 5 6 sum 15, row 7 8 9 sum 24")]
+    docs = [(k, f"He asked us this: {text} And then he left.") for k, text in items]
+    got = found(spark, [*docs, (9, "What is 1 + 2 * 5 - 6 / 3 + 8? And 5 7 9 11 13 15 17 19 21 23 25")], items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert all(r["cover"] == 1.0 and not r["reparameterised"] for r in got.values())
