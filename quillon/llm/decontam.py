@@ -5,7 +5,8 @@ Words lose punctuation at their ends and case.  Numbers, units after a number, a
 Every window of `width` canonical words is a template; a question that was
 re-parameterised keeps its templates and changes its slots.  Names are a guess, and text
 in capitals has none, so each text is also read in a second view in which names stay
-words, and in a third in which every word stays itself; windows of all views count.
+words, in a third in which every word stays itself, and in a fourth in which capitalised
+words that begin a text, line or sentence are names, too; windows of all views count.
 
 Templates of documents are joined with those of benchmark items by hash.  Before the
 shuffle a fixed 2 MB bitmap of the items' templates drops most windows (it never drops a
@@ -112,12 +113,12 @@ class Canonical:
             wide = np.where(rb[first] >= 0xC0, 2, 1)
             nxt = np.minimum(first + wide, len(rb) - 1)
             shout = (first + wide < re_) & _upper_start(rb, nxt)
-            name = _upper_start(rb, first) & ~shout & ~begin & ~number & ~unit
+            opened = _upper_start(rb, first) & ~shout & ~number & ~unit
         else:
-            name = np.zeros(0, bool)
+            opened = np.zeros(0, bool)
         self.typed = np.where(number, NUM, np.where(unit, UNIT, U(0)))
-        self.named = np.where(name, NAME, self.typed)
-        self.views = (np.zeros(len(keep), U), self.typed, self.named)
+        self.named = np.where(opened & ~begin, NAME, self.typed)
+        self.views = (np.zeros(len(keep), U), self.typed, self.named, np.where(opened, NAME, self.typed))
         self.first = np.searchsorted(self.row, np.arange(len(low.first)))
 
     def templates(self, width: int, view: int) -> tuple[np.ndarray, np.ndarray]:

@@ -89,3 +89,14 @@ def test_copies_of_items_full_of_numbers(spark):
     got = found(spark, [*docs, (9, "What is 1 + 2 * 5 - 6 / 3 + 8? And 5 7 9 11 13 15 17 19 21 23 25")], items)
     assert set(got) == {(1, 1), (2, 2), (3, 3)}
     assert all(r["cover"] == 1.0 and not r["reparameterised"] for r in got.values())
+
+
+def test_names_that_begin_sentences(spark):
+    tom = "Tom has 3 apples. Tom buys 5 more. Tom eats 1. Tom gives 2 to Ann. How many are left?"
+    bob = tom.replace("Tom", "Bob")
+    mixed = bob.replace("Bob gives", "Max gives")  # one name for two
+    other = "Tom went home early. Ann stayed with 3 friends. How many of them left? Nobody knows to this day."
+    got = found(spark, [(1, bob), (2, tom), (3, "Well, " + bob), (4, other), (5, mixed)], [(1, tom)])
+    assert {1, 2, 3} <= {k[0] for k in got} and (4, 1) not in got
+    assert got[1, 1]["cover"] == 1.0 and got[1, 1]["reparameterised"] and not got[2, 1]["reparameterised"]
+    assert got.get((5, 1), {"cover": 0})["cover"] < 1.0
