@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.storage import cut, shared_dir
 
-__all__ = ["BITMAP_BITS", "bitmap", "cut", "drop_clashes", "in_bitmap", "parts", "shared_dir", "spread", "table", "text_bytes", "words_text"]
+__all__ = ["aside", "bitmap", "column", "cut", "drop_clashes", "in_bitmap", "parts", "private", "restored", "shared_dir", "spread", "table", "text_bytes", "words_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,29 +31,70 @@ def words_text(text: str = "text") -> Column:
 def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names (in any case); an operator's own outputs replace them."""
     low = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+    return df.select(*[column(c) for c in df.columns if c.lower() not in low])
 
 
-#: Bits of a membership bitmap: 2 MB, whatever the number of values.
-BITMAP_BITS = 1 << 24
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size one-hash membership filter over a long column of hashes.
+def private(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a column name that df does not have, in any case."""
+    low, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in low:
+            stem += "_"
+        low.add(stem.lower())
+        out.append(stem)
+    return out
 
-    At most BITMAP_BITS / 64 words reach the driver, so its size never depends on the
-    number of values.  Members always test true; others may.
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names (in any case) under private names, and those by their own names.
+
+    For an operator that replaces columns named like its outputs, where the caller's are to stay.
+    """
+    low = {n.lower() for n in names}
+    own = [c for c in df.columns if c.lower() in low]
+    kept = dict(zip(own, private(df, *(f"{c}_" for c in own))))
+    return df.select(*[column(c).alias(kept.get(c, c)) for c in df.columns]), kept
+
+
+def restored(df: DataFrame, columns: list[str], kept: dict[str, str]) -> DataFrame:
+    """These columns of df, those put aside under their own names again."""
+    return df.select(*[column(kept[c]).alias(c) if c in kept else column(c) for c in columns])
+
+
+#: Bits of a membership bitmap: at most 8 MB, and about sixteen for each value below that.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
+#: With more values than this a bitmap of MOST_BITS would pass most of what it is asked.
+MOST_VALUES = MOST_BITS // 2
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray | None:
+    """A one-hash membership filter over a long column of hashes, sized by their number.
+
+    At most MOST_BITS / 64 words reach the driver.  Members always test true; others may.
+    None (every value passes) when there are too many values for a filter of bounded size;
+    whoever filters must therefore be right without it.
     """
-    slot = f"({column} & {BITMAP_BITS - 1}L)"
+    n = values.count()
+    if n > MOST_VALUES:
+        return None
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
+    slot = f"(`{column}` & {bits - 1}L)"
     words = values.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b")
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes.astype(np.uint64) & np.uint64(BITMAP_BITS - 1)
+def in_bitmap(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(hashes), bool)
+    slot = hashes.astype(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 

@@ -1,28 +1,35 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is a repeat when an earlier line has the same text, or, for lines of at least
-`min_fuzzy` characters, a text within one edit (insertion, deletion, substitution).
-Order is (id, text hash, line number).  Every repeat goes, the earliest line of a text
-stays unless an earlier line is within the bound.  Blank lines are layout: they stay.
+A line is a repeat when an earlier line has the same text or a text within the edit bound
+(insertions, deletions, substitutions of characters).  The bound of a line grows with its
+length: one edit for each `per_edit` characters, at most `max_edits`; a pair may differ by
+the smaller bound of its two lines.  Order is (id, text hash, line number).  Every repeat
+goes, the earliest line of a text stays unless an earlier line is within the bound.  Blank
+lines are layout: they stay.
 
 Steps
-1. Distinct line texts, pre-aggregated to their earliest place.
-2. One edit leaves the first or the last half of a line as it was, so a text can only have
-   a neighbour if another text agrees with it in one of four (length, half) keys.  Texts
-   that share no key have no neighbour; this is exact and drops nothing.
-3. The others emit their deletion neighbourhood as hashed keys: the text itself, and for
-   each position the text without that character.  All hashes of a line come from prefix
-   sums, so a line costs time in proportion to its length.
-   * same key (text without a character at position i, i): the texts differ by a
-     substitution there;
-   * a text's own key equal to another's key with a deletion: they differ by an insertion.
-4. Keys are joined by aggregation: each key keeps the earliest text of either kind, and
-   every text takes the earliest it meets over its keys.  No pairs within a key are ever
-   made, so a key that a third of all lines share costs as much as any other.
+1. Distinct line texts, pre-aggregated in each batch and each task to their earliest place.
+   A place is one decimal number, so that all aggregations are hash aggregations.
+2. With a bound of one edit, the first or the last half of a line stays as it was, so a text
+   can only have a neighbour if another text agrees with it in one of four (length, half)
+   keys.  Texts that share no key have no neighbour; this is exact and drops nothing.
+   Larger bounds do without this step.
+3. The others are numbered in the order of their places and emit all variants within their
+   bound as hashed keys: up to k characters replaced by a wildcard or deleted.  A variant
+   with s wildcards and d deletions that equals one of another text with s wildcards and e
+   deletions is an edit script of s + d + e steps between the two, and every script within
+   the bound gives such a pair.  Hashes come from prefix sums.
+4. Variants are joined by aggregation: each key keeps the earliest text for every number of
+   deletions, and every text takes the earliest that it meets within the bound over its
+   keys.  No pairs within a key are ever made.
 5. The edit distance of a text and the partner it met is verified on the texts.
 
-Texts are told apart by 64-bit hashes; two of n distinct lines are confused with chance
-n * n / 2**65 in all.
+Skew: a text with very many occurrences (more than HOT_LINES, and more than a
+HOT_TEXTS-th of all) is looked up in a broadcast table of at most HOT_TEXTS rows instead
+of being shuffled.
+
+Texts are told apart by two 64-bit hashes.  Rows of one id are told apart by 31 bits of a
+hash of their text.
 
 Defined results
 * null text: no lines; the row keeps its null.  Rows equal in id and text: one document,
@@ -35,94 +42,222 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, cut, drop_clashes, in_bitmap
-from quillon.llm.textkit import BASE_INV, U, mix64, powers
+from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private
+from quillon.llm.textkit import BASE_INV, BYTE, U, Lines, lines, mix64, plain, powers, row_of, span_hashes
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
-MIN_FUZZY = 20
+#: Characters of a line for each edit of its bound, and the largest bound.
+PER_EDIT, MAX_EDITS = 20, 1
+#: A text occurs often with more lines than this; at most HOT_TEXTS such texts are broadcast.
+HOT_LINES, HOT_TEXTS = 1000, 50_000
+_OTHER = mix64(BYTE ^ U(0x5851F42D4C957F2D))  # a second value for each byte
+_LENGTH = U(0xA0761D6478BD642F)
+_WILD = U(0x2545F4914F6CDD1D)
+
+#: A place is id * 2**62 + tag * 2**31 + line number; a null id counts as -2**64.  Its quotient by 2**31 names the document.
+_PLACE = pa.decimal128(38, 0)
+_STEP = 1 << 31
+
+
+def _places(ids: pa.Array, tags: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    """The places of lines as decimals, written as 128-bit integers."""
+    null = np.asarray(ids.is_null())
+    i = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    low = (tags.astype(np.int64) << 31) | numbers.astype(np.int64)
+    out = np.empty((len(i), 2), np.int64)
+    out[:, 0] = np.where(null, low, (i << 62) | low)
+    out[:, 1] = np.where(null, -(1 << 62), i >> 2)
+    return pa.Array.from_buffers(_PLACE, len(i), [None, pa.py_buffer(out.tobytes())])
+
+
+def _document(id_col: str, text_col: str) -> Column:
+    """What the places of a document's lines have in common."""
+    number = F.lit(_STEP).cast("decimal(12,0)")
+    own = F.coalesce(column(id_col).cast("long").cast("decimal(20,0)"), F.lit(str(-(1 << 64))).cast("decimal(20,0)"))
+    return (own * number + F.coalesce(F.xxhash64(column(text_col)).bitwiseAND(_STEP - 1), F.lit(0))).cast("decimal(38,0)")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).bitwiseAND(_STEP - 1).alias("tag"), column(text_col).alias("text"))
+
+
+class _Split:
+    """The lines that are not blank of some rows: hashes, places, and character counts."""
+
+    def __init__(self, batch: pa.RecordBatch, ln: Lines):
+        at = np.flatnonzero(~ln.blank)
+        row = row_of(ln.first)[at]
+        self.start, self.end, self.data = ln.start[at], ln.end[at], ln.data
+        self.t1 = span_hashes(BYTE[ln.data], self.start, self.end).view(np.int64)
+        self.t2 = span_hashes(_OTHER[ln.data], self.start, self.end).view(np.int64)
+        part = batch.slice(ln.rows.start, len(ln.rows))
+        take = pa.array(row)
+        self.place = _places(part.column("id").take(take), part.column("tag").to_numpy(zero_copy_only=False)[row], at - ln.first[row])
+
+    def halves(self, least: int) -> tuple[np.ndarray, list[pa.Array]]:
+        """Characters of each line, and four half keys of lines of at least `least`.
+
+        First and last half at the line's own length, then as the longer text of a pair.  A
+        substitution leaves two texts of equal length with a common first or last half.  A
+        deletion leaves the shorter text's own half keys with those of the longer text that
+        are made for one character less.
+        """
+        lead = (self.data & 0xC0) != 0x80
+        chars = np.concatenate([[0], np.cumsum(lead)])
+        begin = np.append(np.flatnonzero(lead), len(self.data))  # byte of each character
+        c0 = chars[self.start]
+        n = chars[self.end] - c0
+        cut_at = lambda k: begin[np.minimum(c0 + k, len(begin) - 1)]
+        values, out = BYTE[self.data], []
+        long_enough = n >= least
+        for side, size, (a, b) in (
+            (0, n, (self.start, cut_at(n // 2))),
+            (1, n, (cut_at(n // 2), self.end)),
+            (0, n - 1, (self.start, cut_at((n - 1) // 2))),
+            (1, n - 1, (cut_at((n - 1) // 2 + 1), self.end)),
+        ):
+            a, b = np.where(long_enough, a, 0), np.where(long_enough, b, 0)
+            h = mix64(span_hashes(values, a, b) + size.astype(U) * U(0x9E3779B97F4A7C15) + U(side))
+            out.append(pa.array(h.view(np.int64), mask=~long_enough))
+        return n, out
+
+
+_TEXTS = "t1 long, t2 long, place decimal(38,0), c long, n int, half0 long, half1 long, half2 long, half3 long"
+
+
+def _distinct_lines(least: int):
+    """mapInArrow: rows to the distinct line texts of some rows, each with its earliest place there and its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ln in lines(plain(batch.column("text"))):
+                s = _Split(batch, ln)
+                if not len(s.t1):
+                    continue
+                n, half = s.halves(least)
+                words = np.frombuffer(s.place.buffers()[1], np.int64).reshape(-1, 2)
+                order = np.lexsort((words[:, 0].view(U), words[:, 1], s.t2, s.t1))
+                a, b = s.t1[order], s.t2[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                at = np.flatnonzero(new)
+                take = pa.array(order[at])
+                c = np.diff(np.append(at, len(order)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[at]), pa.array(b[at]), s.place.take(take), pa.array(c.astype(np.int64)), pa.array(n[order[at]].astype(np.int32)), *(h.take(take) for h in half)],
+                    names=["t1", "t2", "place", "c", "n", "half0", "half1", "half2", "half3"],
+                )
+
+    return run
+
+
+def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: rows to (t1, t2, place) of every line."""
+    for batch in batches:
+        for ln in lines(plain(batch.column("text"))):
+            s = _Split(batch, ln)
+            yield pa.RecordBatch.from_arrays([pa.array(s.t1), pa.array(s.t2), s.place], names=["t1", "t2", "place"])
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a non-blank line: tid (hash of its text), place (struct of id, th, no), line."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    return rows.where("trim(both ' \t\r' from line) <> ''").select(F.xxhash64("line").alias("tid"), F.struct("id", "th", "no").alias("place"), "line")
+def _picked_lines(bits: np.ndarray | None):
+    """mapInArrow: rows to (place, line) of lines whose text the bitmap has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ln in lines(plain(batch.column("text"))):
+                s = _Split(batch, ln)
+                at = np.flatnonzero(in_bitmap(bits, s.t1.view(U)))
+                raw = ln.data.tobytes()
+                yield pa.RecordBatch.from_arrays([s.place.take(pa.array(at)), pa.array([raw[a:b].decode() for a, b in zip(s.start[at].tolist(), s.end[at].tolist())], pa.string())], names=["place", "line"])
 
-def _half_keys(line: Column) -> list[Column]:
-    """Half keys of a text: first and last half at its own length, then as the longer text of a pair.
+    return run
 
-    A substitution leaves two texts of equal length with a common first or last half.  A
-    deletion leaves the shorter text's own half keys with those of the longer text that
-    are made for one character less.
-    """
-    n = F.length(line)
-    half, short = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    return [
-        F.xxhash64(F.lit(0), n, F.substring(line, F.lit(1), half)),
-        F.xxhash64(F.lit(1), n, F.substring(line, half + 1, n)),
-        F.xxhash64(F.lit(0), n - 1, F.substring(line, F.lit(1), short)),
-        F.xxhash64(F.lit(1), n - 1, F.substring(line, short + 2, n)),
-    ]
-
-
-#: What a text has to emit: positions of the last or first half for substitutions, the same
-#: for deletions, and itself.
+
+#: What a text has to emit when the bound is one edit: positions of the last or first half
+#: for substitutions, the same for deletions, and itself.
 SWAP_LAST, SWAP_FIRST, LESS_LAST, LESS_FIRST, OWN = 1, 2, 4, 8, 16
 
 
-def deletion_keys(line: str, need: int = 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a line's neighbourhood up to one deletion: own, without each character, and the same with its position."""
+def variants(line: str, edits: int, need: int = 31) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(keys, wildcards, deletions) of a line with up to `edits` characters replaced by a wildcard or deleted.
+
+    `need` leaves out positions that cannot be edited; it only applies to a bound of one.
+    """
     c = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(U)
     n = len(c)
     p, _ = powers(n + 1)
-    with np.errstate(over="ignore"):
-        s = np.zeros(n + 1, U)
-        np.cumsum(mix64(c + U(1)) * p[:n], out=s[1:], dtype=U)
-        without = s[:-1] + (s[-1] - s[1:]) * U(BASE_INV)
-        size = U(0xA0761D6478BD642F)
-        own = mix64(s[-1:] + U(n) * size)
-        gone = mix64(without + U(n - 1) * size)
-        at = mix64(gone + np.arange(1, n + 1, dtype=U) * U(0xE7037ED1A0B428DB))
+    value = mix64(c + U(1)) * p[:n]
+    s = np.zeros(n + 1, U)
+    np.cumsum(value, out=s[1:], dtype=U)
+    shift = [U(pow(BASE_INV, d, 1 << 64)) for d in range(edits + 1)]
     half, short = n // 2, (n - 1) // 2
-    swap = at[half if not need & SWAP_FIRST else 0 : half if not need & SWAP_LAST else n]
-    less = gone[short if not need & LESS_FIRST else 0 : short + 1 if not need & LESS_LAST else n]
-    none = own[:0]
-    return own if need & OWN else none, np.unique(less) if need & (LESS_FIRST | LESS_LAST) else none, swap if need & (SWAP_FIRST | SWAP_LAST) else none
-
-
-_KEYS = "key long, kind int, tid long, place struct<id:long,th:long,no:int>"
-
-
-def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kinds: 0 the text itself, 1 the text less a character, 2 the same at a position."""
-    names = ["key", "kind", "tid", "place"]
-    for batch in batches:
-        keys, kinds, rows, sizes, held = [], [], [], [], 0
-        need = batch.column("need").to_pylist()
-        for i, line in enumerate(batch.column("line")):
-            for kind, k in enumerate(deletion_keys(line.as_py(), need[i])):
-                keys.append(k)
-                kinds.append(kind)
-                rows.append(i)
-                sizes.append(len(k))
-                held += len(k)
-            if held > 200_000 or i == batch.num_rows - 1:
-                take = pa.array(np.repeat(np.array(rows, np.int64), sizes))
-                kind_of = np.repeat(np.array(kinds, np.int32), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(kind_of), batch.column("tid").take(take), batch.column("place").take(take)], names=names)
-                keys, kinds, rows, sizes, held = [], [], [], [], 0
-
-
-def _alive(texts: DataFrame, min_fuzzy: int) -> DataFrame:
-    """(tid, place, need): texts that agree with another in a half key, and what they have to emit."""
+    with np.errstate(over="ignore"):
+        for k in range(min(edits, n) + 1):
+            at = np.arange(n).reshape(n, 1) if k == 1 else np.array(list(combinations(range(n), k)), np.int64).reshape(comb(n, k), k)
+            for wild in product((True, False), repeat=k):
+                rows, deleted = at, 0
+                if edits == 1 and k == 1:
+                    first, last, (a, b) = (SWAP_FIRST, SWAP_LAST, (half, half)) if wild[0] else (LESS_FIRST, LESS_LAST, (short, short + 1))
+                    rows = rows[a if not need & first else 0 : b if not need & last else n] if need & (first | last) else rows[:0]
+                elif edits == 1 and not need & OWN:
+                    continue
+                h, begin = np.zeros(len(rows), U), np.zeros(len(rows), np.int64)
+                for j in range(k):
+                    x = rows[:, j]
+                    h += (s[x] - s[begin]) * shift[deleted]
+                    if wild[j]:
+                        h += _WILD * p[x] * shift[deleted]
+                    else:
+                        deleted += 1
+                    begin = x + 1
+                h += (s[n] - s[begin]) * shift[deleted]
+                keys = mix64(h + U(n - deleted) * _LENGTH + U(sum(wild)) + U(edits) * _WILD)
+                yield np.unique(keys) if deleted else keys, sum(wild), deleted
+
+
+_KEYS = "key long, s int, d int, bound int, ord long"
+
+
+def _neighbourhoods(per_edit: int, max_edits: int):
+    """mapInArrow: (ord, need, line) to the variants of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "s", "d", "bound", "ord"]
+        for batch in batches:
+            ords, need = batch.column("ord").to_numpy(), batch.column("need").to_pylist()
+            held: list[tuple] = []
+            size = 0
+            for i, line in enumerate(batch.column("line")):
+                text = line.as_py()
+                for bound in range(1, min(max_edits, len(text) // per_edit) + 1):  # two lines meet under the smaller bound
+                    for keys, s, d in variants(text, bound, need[i] if max_edits == 1 else 31):
+                        held.append((keys, s, d, bound, ords[i]))
+                        size += len(keys)
+                if size > 200_000 or i == batch.num_rows - 1:
+                    sizes = [len(h[0]) for h in held]
+                    flat = lambda j, kind: pa.array(np.repeat(np.array([h[j] for h in held], kind), sizes))  # noqa: E731, B023
+                    keys = np.concatenate([h[0] for h in held]) if held else np.zeros(0, U)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), flat(1, np.int32), flat(2, np.int32), flat(3, np.int32), flat(4, np.int64)], names=names)
+                    held, size = [], 0
+
+    return run
+
+
+def _alive(texts: DataFrame, per_edit: int, max_edits: int) -> DataFrame:
+    """(t1, place, need): texts that may have a neighbour, and what they have to emit."""
+    able = texts.where(F.col("n") >= per_edit)
+    if max_edits > 1:
+        return able.select("t1", "place", F.lit(31).alias("need"))
     sides = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"half{k}").alias("half")) for k in range(4)])
-    half = texts.where(F.col("n") >= min_fuzzy).select("tid", "place", F.explode(sides).alias("s")).select("tid", "place", "s.k", "s.half")
+    half = able.select("t1", "place", F.explode(sides).alias("s")).select("t1", "place", "s.k", "s.half")
     met = half.groupBy("half").agg(F.count_if(F.col("k") < 2).alias("same"), F.count_if(F.col("k") >= 2).alias("longer")).where("same > 1 or (same > 0 and longer > 0)")
     swap = (F.col("k") < 2) & (F.col("same") > 1)
     pair = (F.col("same") > 0) & (F.col("longer") > 0)
@@ -130,64 +265,64 @@ def _alive(texts: DataFrame, min_fuzzy: int) -> DataFrame:
         F.when(swap & (F.col("k") == 0), SWAP_LAST).when(swap & (F.col("k") == 1), SWAP_FIRST).otherwise(0)
         + F.when(pair & (F.col("k") == 2), LESS_LAST).when(pair & (F.col("k") == 3), LESS_FIRST).when(pair, OWN).otherwise(0)
     )
-    return half.join(met, "half").withColumn("need", need).where("need > 0").groupBy("tid").agg(F.bit_or("need").alias("need"), F.first("place").alias("place"))
-
-
-def _pick(lines: DataFrame, alive: DataFrame) -> DataFrame:
-    """(tid, place, need, line) of the texts in `alive`; a fixed-size bitmap keeps others out of the shuffle."""
-    bits = bitmap(alive, "tid")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits, batch.column("tid").to_numpy())))
-
-    some = lines.select("tid", "place", "line").mapInArrow(keep, "tid long, place struct<id:long,th:long,no:int>, line string")
-    return some.join(alive.select("tid", "need", F.col("place").alias("first")), "tid").where("place = first").select("tid", "place", "need", "line").dropDuplicates(["tid"])
-
-
-def _fuzzy_firsts(lines: DataFrame, texts: DataFrame, min_fuzzy: int) -> DataFrame:
-    """(tid, near): the earliest place among texts within one edit, for texts that have such an earlier one."""
-    alive = cut(_alive(texts, min_fuzzy))
-    some = cut(_pick(lines, alive))
-    rows = some.mapInArrow(_neighbourhoods, _KEYS).withColumn("side", F.when(F.col("kind") == 2, 2).otherwise(0))
-    best = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "tid")))
-    met = rows.groupBy("key", "side").agg(best(0).alias("own"), best(1).alias("less"), best(2).alias("swap"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    offer = F.when(F.col("kind") == 0, F.col("less")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("swap"))
-    offers = rows.join(met, ["key", "side"]).withColumn("offer", offer).where("offer is not null and offer.place < place")
-    best_offer = offers.groupBy("tid").agg(F.min("offer").alias("offer"))
-    pairs = best_offer.select("tid", F.col("offer.tid").alias("with"), F.col("offer.place").alias("near"))
-    a = some.select("tid", "line")
-    b = some.select(F.col("tid").alias("with"), F.col("line").alias("other"))
-    return pairs.join(a, "tid").join(b, "with").where(F.levenshtein("line", "other", 1) >= 0).select("tid", "near")
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: bool = True, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """(id, th, removed_lines): the line numbers that go, of documents that lose some."""
-    lines = _lines(docs, id_col, text_col)
-    halves = [k.alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("line")))] if fuzzy else []
-    firsts = [F.first(f"half{i}").alias(f"half{i}") for i in range(len(halves))]
-    texts = lines.select("tid", "place", F.length("line").alias("n"), *halves).groupBy("tid").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *firsts)
+    return half.join(met, "half").withColumn("need", need).where("need > 0").groupBy("t1", "place").agg(F.bit_or("need").alias("need"))
+
+
+def _fuzzy_firsts(rows: DataFrame, texts: DataFrame, per_edit: int, max_edits: int) -> DataFrame:
+    """(place, near): for texts with an earlier text within the bound, the earliest place among those."""
+    alive = cut(_alive(texts, per_edit, max_edits))
+    picked = rows.mapInArrow(_picked_lines(bitmap(alive, "t1")), "place decimal(38,0), line string")
+    some = picked.join(alive.select("place", "need"), "place").dropDuplicates(["place"])
+    # Numbers in the order of the places: ranges are partitions, and a partition's numbers grow.
+    some = cut(some.repartitionByRange("place").sortWithinPartitions("place").withColumn("ord", F.monotonically_increasing_id()))
+    keys = some.select("ord", "need", "line").mapInArrow(_neighbourhoods(per_edit, max_edits), _KEYS)
+    least = [F.min(F.when(F.col("d") == e, F.col("ord"))).alias(f"least{e}") for e in range(max_edits + 1)]
+    met = keys.groupBy("key").agg(*least, F.count(F.lit(1)).alias("c")).where("c > 1")
+    near = F.least(F.lit((1 << 63) - 1), *[F.when(F.col("s") + F.col("d") + e <= F.col("bound"), F.col(f"least{e}")) for e in range(max_edits + 1)])
+    pairs = keys.join(met, "key").withColumn("with", near).where("with < ord").groupBy("ord").agg(F.min("with").alias("with"))
+    a = some.select("ord", "place", "line")
+    b = some.select(F.col("ord").alias("with"), F.col("place").alias("near"), F.col("line").alias("other"))
+    return pairs.join(a, "ord").join(b, "with").where(F.levenshtein("line", "other", max_edits) >= 0).select("place", "near")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: bool = True, per_edit: int = PER_EDIT, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(document, removed_lines): the line numbers that go, of documents that lose some."""
+    rows = _rows(docs, id_col, text_col)
+    keep = ["n", *(f"half{k}" for k in range(4))] if fuzzy else []
+    texts = rows.mapInArrow(_distinct_lines(per_edit), _TEXTS).groupBy("t1", "t2").agg(F.min("place").alias("place"), F.sum("c").alias("c"), *[F.first(k).alias(k) for k in keep])
+    texts = cut(texts)
     if fuzzy:
-        texts = cut(texts)
-        near = _fuzzy_firsts(lines, texts, min_fuzzy)
-        texts = texts.join(near, "tid", "left").withColumn("c", F.when(F.col("near").isNotNull(), 2).otherwise(F.col("c"))).withColumn("place", F.least("place", F.coalesce("near", "place")))
-    first = texts.where("c > 1").select("tid", F.col("place").alias("first"))
-    gone = lines.select("tid", "place").join(first, "tid").where("first < place")
-    return gone.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.array_sort(F.collect_set("place.no")).alias("removed_lines"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: bool = True, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+        near = _fuzzy_firsts(rows, texts, per_edit, max_edits)
+        texts = texts.select("t1", "t2", "place", "c").join(near, "place", "left")
+    else:
+        texts = texts.withColumn("near", F.lit(None).cast("decimal(38,0)"))
+    first = texts.where("c > 1 or near is not null").select("t1", "t2", "c", F.least("place", F.coalesce("near", "place")).alias("first"))
+    first = cut(first)
+    often = max(HOT_LINES, int(first.agg(F.sum("c")).first()[0] or 0) // HOT_TEXTS)
+    hot = F.broadcast(first.where(F.col("c") > often).select("t1", "t2", F.col("first").alias("hot_first")))
+    found = rows.mapInArrow(_all_lines, "t1 long, t2 long, place decimal(38,0)").join(hot, ["t1", "t2"], "left")
+    # An occurrence of such a text goes to any partition, under a key that no other text has with it.
+    spread = found.withColumn("t1", F.when(F.col("hot_first").isNull(), F.col("t1")).otherwise(F.xxhash64("place")))
+    cold = first.where(F.col("c") <= often).select("t1", "t2", "first")
+    gone = spread.join(cold, ["t1", "t2"], "left").where(F.coalesce("hot_first", "first") < F.col("place"))
+    gone = gone.select("place", F.expr(f"pmod(place, {_STEP})").cast("int").alias("no"))
+    gone = gone.select("no", ((F.col("place") - F.col("no")) / F.lit(_STEP).cast("decimal(12,0)")).cast("decimal(38,0)").alias("document"))
+    return gone.groupBy("document").agg(F.array_sort(F.collect_set("no")).alias("removed_lines"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: bool = True, per_edit: int = PER_EDIT, max_edits: int = MAX_EDITS) -> DataFrame:
     """docs with the lines that stay as text, and n_lines, n_removed, removed_lines (numbers from 0)."""
     docs = drop_clashes(docs, *OUTPUTS)
-    gone = removals(docs, id_col, text_col, fuzzy, min_fuzzy)
-    rows = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
-    out = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["id"]) & (F.col("_th") == gone["th"]), "left").drop("id", "th", "_th")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
-    size = F.coalesce(F.size("removed_lines"), F.lit(0))
+    key, lost = private(docs, "document", "lost")
+    gone = removals(docs, id_col, text_col, fuzzy, per_edit, max_edits).select(F.col("document").alias(key), F.col("removed_lines").alias(lost))
+    # The texts are streamed past a hash table of the removals, not sorted.
+    out = docs.withColumn(key, _document(id_col, text_col)).join(gone.hint("shuffle_hash"), key, "left")
+    text, numbers = column(text_col), column(lost)
+    split = F.split(text, "\n")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), numbers), lambda i: F.get(split, i)), "\n")
     return out.select(
-        *[(F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`")) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("removed_lines").isNull(), 0).otherwise(size).cast("long").alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
+        *[(F.when(numbers.isNull(), text).otherwise(kept).alias(text_col) if c == text_col else column(c)) for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(numbers.isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed"),
+        F.coalesce(numbers, F.array().cast("array<int>")).alias("removed_lines"),
     )

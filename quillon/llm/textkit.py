@@ -74,11 +74,6 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return span_hashes(values, at, at + width)
 
 
-def fold_hashes(values: np.ndarray) -> int:
-    """One 64-bit hash of a whole sequence."""
-    return int(span_hashes(values, np.array([0]), np.array([len(values)]))[0])
-
-
 @dataclass
 class Words:
     """Words of consecutive rows: word i of row r is at first[r] + i."""
@@ -137,6 +132,48 @@ def words(arr: pa.Array, lower: bool, chunk: int = CHUNK_BYTES) -> Iterator[Word
         r = e
 
 
+@dataclass
+class Lines:
+    """Lines of consecutive rows, cut at line feeds: line i of row r is at first[r] + i."""
+
+    rows: range
+    first: np.ndarray
+    start: np.ndarray  # byte positions in data, the line feed left out
+    end: np.ndarray
+    data: np.ndarray
+    blank: np.ndarray  # bool: nothing but spaces, tabs and carriage returns
+
+
+def lines(arr: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[Lines]:
+    """Splits a string array into lines, some rows at a time; a null has none, an empty text has one."""
+    arr = plain(arr)
+    if not len(arr):
+        return
+    null = np.asarray(arr.is_null())
+    offsets, data = _buffers(arr)
+    r = 0
+    while r < len(arr):
+        e = max(r + 1, int(np.searchsorted(offsets, offsets[r] + chunk, "right")) - 1)
+        lo, hi = int(offsets[r]), int(offsets[e])
+        b = data[lo:hi]
+        cuts = offsets[r : e + 1] - lo
+        feeds = np.flatnonzero(b == 0x0A)
+        inside = np.searchsorted(cuts, feeds, "right") - 1  # the row of each line feed; rows without bytes have none
+        has = ~null[r:e]
+        start = np.concatenate([cuts[:-1][has], feeds + 1])
+        row = np.concatenate([np.flatnonzero(has), inside])
+        order = np.lexsort((start, row))
+        start, row = start[order], row[order]
+        first = np.searchsorted(row, np.arange(e - r + 1))
+        end = np.empty(len(start), np.int64)
+        end[:-1] = start[1:] - 1
+        last = first[1:][has] - 1
+        end[last] = cuts[1:][has]
+        solid = np.concatenate([[0], np.cumsum((b != 0x20) & (b != 0x09) & (b != 0x0D))])
+        yield Lines(range(r, e), first, start, end, b, solid[end] == solid[start])
+        r = e
+
+
 def row_of(first: np.ndarray) -> np.ndarray:
     """For each word, the number of its row among the rows of `first`."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -150,10 +187,6 @@ def row_windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, h[ok]
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64) if h.dtype == U else h
-
-
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and the length of each row's list."""
     off = np.zeros(len(lengths) + 1, np.int32)

@@ -1,6 +1,6 @@
 import random
 
-from quillon.llm.line_dedup import MIN_FUZZY, line_dedup
+from quillon.llm.line_dedup import PER_EDIT, line_dedup
 
 SCHEMA = "doc_id long, text string, N_Lines string"
 
@@ -27,7 +27,7 @@ def brute(rows):
         if ln.strip(" \t\r") == "":
             gone = False
         else:
-            gone = any(ln == x or (min(len(ln), len(x)) >= MIN_FUZZY and within_one(ln, x)) for x in seen)
+            gone = any(ln == x or (min(len(ln), len(x)) >= PER_EDIT and within_one(ln, x)) for x in seen)
             seen.append(ln)
         out.setdefault((i, t), []).append((ln, gone))
     return {k: ("\n".join(ln for ln, g in v if not g), sum(g for _, g in v)) for k, v in out.items()}
@@ -62,3 +62,47 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_two_edits(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abc é") for _ in range(rng.choice([14, 15, 22, 23, 31]))) for _ in range(6)]
+
+    def changed(s):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + "x" + s[i:], s[:i] + "y" + s[i + 1 :]])
+        return s
+
+    rows = [(i, changed(rng.choice(base))) for i in range(120)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), per_edit=10, max_edits=2).collect()}
+    bound = lambda a, b: min(2, len(a) // 10, len(b) // 10)
+    want = {i: int(bool(t.strip()) and any(u.strip() and (t == u or distance(t, u) <= bound(t, u)) for _, u in rows[:k])) for k, (i, t) in enumerate(rows)}
+    assert got == want and 20 < sum(want.values()) < 120
+
+
+def test_clashing_columns_and_hot_line(spark):
+    hot = "one line that a third of all documents hold"
+    rows = [(i, f"{hot}\nown line {i} {i * i} of this document", i, "th", 1.5) for i in range(2500)] + [(7, "another text", 0, "t", 0.0), (-5, f"{hot}!", 0, "n", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, Th string, document double")
+    got = line_dedup(docs, max_edits=1)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed", "removed_lines"]
+    out = got.collect()
+    assert len(out) == len(rows) and {r["id"] for r in out} == {r[2] for r in rows}
+    assert {r["doc_id"]: r["removed_lines"] for r in out if r["n_removed"]}.keys() == set(range(2500)) and all(0 in r["removed_lines"] for r in out if r["n_removed"])
+
+
+def test_null_ids_come_first_and_lines_of_one_id_are_apart(spark):
+    rows = [(None, "a line that is repeated here"), (-(1 << 63), "a line that is repeated here\nmore"), (3, "x\n\ny"), (3, "y\n\nx")]
+    out = {(r["doc_id"], r["text"]): r["n_removed"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[(None, rows[0][1])] == 0 and out[(-(1 << 63), "more")] == 1
+    assert sorted(t for i, t in out if i == 3) in (["", "x\n\ny"], ["", "y\n\nx"])
