@@ -9,12 +9,15 @@ other characters than letters becomes one space: case, digits, mark-up and punct
 say little about a language.  The verdict is rejected when the winner's margin over the runner-up is narrow.
 
 The only fitted state is the sample: at most `docs_per_lang` rows of each language, of
-each at most `doc_bytes` bytes, cut to `dict_bytes` a dictionary.  Rows enter by the
+each at most `doc_bytes` bytes, cut to `dict_bytes` a dictionary, for the `max_langs`
+languages with the most rows (of equal ones the alphabetically first).  Rows enter by the
 smallest hash of (id, text), so the sample depends on the data only, not on partitions.
 
 Defined results
 * null text, or text without a letter: `und`, score 0, rejected.
 * equal sizes: the alphabetically first language wins, margin 0, rejected.
+* a language whose sample is below the 8 bytes that the library asks of a dictionary: the
+  sample is written several times over.  One without any letter cannot be learned.
 * no labelled row at all: everything is `und`.  Rows with null lang are not learned from.
 * rows are independent; repeated rows get equal answers; empty tables stay empty.
 * columns named like an output are replaced, others pass through.
@@ -38,7 +41,7 @@ PIECE = 4096
 SHORT = 1024
 LEVEL = 5
 #: Documented bounds of the sample.
-DOCS_PER_LANG, DOC_BYTES, DICT_BYTES = 160, 2048, 112 * 1024
+DOCS_PER_LANG, DOC_BYTES, DICT_BYTES, MAX_LANGS = 160, 2048, 112 * 1024, 200
 #: A verdict is rejected below this share of the runner-up's size.
 MIN_MARGIN = 0.004
 HASH_RANGE = 1 << 30
@@ -49,18 +52,18 @@ def normal(text: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(text), r"[^\p{L}]+", " "))
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, doc_bytes: int = DOC_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, doc_bytes: int = DOC_BYTES, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
     """Dictionaries by language, from a bounded sample of rows with a language and some text.
 
     Counts come first, so that a hash threshold admits about twice the rows wanted of each
     language; only those reach the driver.
     """
     have = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in have.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in have.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(max_langs).collect()}
     if not counts:
         return {}
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(HASH_RANGE))
-    limit: Column = F.lit(HASH_RANGE)
+    limit: Column = F.lit(0)
     for lang, n in counts.items():
         share = min(HASH_RANGE, int(HASH_RANGE * min(1.0, (2 * docs_per_lang + 64) / n)))
         limit = F.when(F.col(lang_col) == lang, F.lit(share)).otherwise(limit)
@@ -69,8 +72,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     for lang in sorted(counts):
         texts = [r["t"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["t"]))[:docs_per_lang]]
         raw = b" ".join(t.encode()[:doc_bytes] for t in normal(pa.array(texts, pa.string())).to_pylist())[:dict_bytes]
-        if len(raw) >= 8:
-            out[lang] = raw
+        if raw:
+            out[lang] = raw if len(raw) >= 8 else b" ".join([raw] * 8)
     return out
 
 
