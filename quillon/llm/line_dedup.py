@@ -51,14 +51,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private
-from quillon.llm.textkit import BASE_INV, BYTE, U, Lines, lines, mix64, plain, powers, row_of, span_hashes
+from quillon.llm.textkit import BASE_INV, BYTE, OTHER, U, Lines, lines, mix64, plain, powers, row_of, span_hashes
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
 #: Characters of a line for each edit of its bound, and the largest bound.
 PER_EDIT, MAX_EDITS = 20, 1
 #: A text occurs often with more lines than this; at most HOT_TEXTS such texts are broadcast.
 HOT_LINES, HOT_TEXTS = 1000, 50_000
-_OTHER = mix64(BYTE ^ U(0x5851F42D4C957F2D))  # a second value for each byte
 _LENGTH = U(0xA0761D6478BD642F)
 _WILD = U(0x2545F4914F6CDD1D)
 
@@ -97,7 +96,7 @@ class _Split:
         row = row_of(ln.first)[at]
         self.start, self.end, self.data = ln.start[at], ln.end[at], ln.data
         self.t1 = span_hashes(BYTE[ln.data], self.start, self.end).view(np.int64)
-        self.t2 = span_hashes(_OTHER[ln.data], self.start, self.end).view(np.int64)
+        self.t2 = span_hashes(OTHER[ln.data], self.start, self.end).view(np.int64)
         part = batch.slice(ln.rows.start, len(ln.rows))
         take = pa.array(row)
         self.place = _places(part.column("id").take(take), part.column("tag").to_numpy(zero_copy_only=False)[row], at - ln.first[row])
@@ -318,8 +317,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The texts are streamed past a hash table of the removals, not sorted.
     out = docs.withColumn(key, _document(id_col, text_col)).join(gone.hint("shuffle_hash"), key, "left")
     text, numbers = column(text_col), column(lost)
-    split = F.split(text, "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), numbers), lambda i: F.get(split, i)), "\n")
+    # The split is the argument of the outer function, so that it is made once a text.
+    stay = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s) - 1), numbers)
+    kept = F.transform(F.array(F.split(text, "\n")), lambda s: F.array_join(F.transform(stay(s), lambda i: F.get(s, i)), "\n"))[0]
     return out.select(
         *[(F.when(numbers.isNull(), text).otherwise(kept).alias(text_col) if c == text_col else column(c)) for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

@@ -55,7 +55,7 @@ def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(7) == 2).alias("held_out"))
-    return lm.lm_scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.lm_scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures")
 
 
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "n_windows", "n_repeated")
 
 
 QUERIES = {
@@ -146,12 +146,14 @@ FROM documents d LEFT JOIN o USING (doc_id)""",
     "op10_substring_dedup": r"""
 WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 x AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
-f AS (SELECT k, min((doc_id, i)) AS first FROM x GROUP BY k HAVING count(*) > 1),
+f AS MATERIALIZED (SELECT k, min((doc_id, i)) AS first FROM x GROUP BY k HAVING count(*) > 1),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM x JOIN f USING (k) WHERE (doc_id, i) > first),
 a AS (SELECT doc_id, j, ws[j] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
 o AS (
   SELECT a.doc_id, count(*) AS n_words, count(g.j) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY a.j) FILTER (WHERE g.j IS NULL), '') AS kept
-  FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id)
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN o USING (doc_id)""",
+  FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id),
+c AS (SELECT doc_id, count(*) AS n_windows, count(f.k) AS n_repeated FROM x LEFT JOIN f USING (k) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_windows, 0) AS n_windows, coalesce(n_repeated, 0) AS n_repeated
+FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }

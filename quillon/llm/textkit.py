@@ -40,6 +40,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 BYTE = mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 _BYTE_LOWER = BYTE[_LOWER]
+#: A second value for each byte; hashes made of both are independent.
+OTHER = mix64(BYTE ^ U(0x5851F42D4C957F2D))
+_OTHER_LOWER = OTHER[_LOWER]
 _pow = np.ones(1, U)
 _ipow = np.ones(1, U)
 
@@ -84,6 +87,7 @@ class Words:
     start: np.ndarray  # byte positions in data
     end: np.ndarray
     data: np.ndarray  # uint8, the bytes of these rows
+    others: np.ndarray | None = None  # uint64, second hashes of the words, if asked for
 
 
 def _buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +104,8 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def words(arr: pa.Array, lower: bool, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Splits a string array into words, some rows at a time; rows are never cut."""
+def words(arr: pa.Array, lower: bool, chunk: int = CHUNK_BYTES, twice: bool = False) -> Iterator[Words]:
+    """Splits a string array into words, some rows at a time; rows are never cut.  `twice` makes second hashes, too."""
     arr = plain(arr)
     if not len(arr):
         return
@@ -128,7 +132,8 @@ def words(arr: pa.Array, lower: bool, chunk: int = CHUNK_BYTES) -> Iterator[Word
         start = np.flatnonzero(begins & (after_sep | edge))
         end = np.flatnonzero(ends & (before_sep | edge))
         first = np.searchsorted(start, cuts)
-        yield Words(range(r, e), first, span_hashes(table[b], start, end), start, end, b)
+        others = span_hashes((_OTHER_LOWER if lower else OTHER)[b], start, end) if twice else None
+        yield Words(range(r, e), first, span_hashes(table[b], start, end), start, end, b, others)
         r = e
 
 
@@ -179,9 +184,9 @@ def row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def row_windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def row_windows(w: Words, width: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and hashes of the windows that lie within one row."""
-    h = window_hashes(w.hashes, width)
+    h = window_hashes(w.hashes if hashes is None else hashes, width)
     row = row_of(w.first)
     ok = np.flatnonzero(row[: len(h)] == row[width - 1 : width - 1 + len(h)]) if len(h) else np.zeros(0, np.int64)
     return ok, h[ok]

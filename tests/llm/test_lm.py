@@ -38,7 +38,14 @@ def brute(rows, order, k):
         s = seq(t)
         base = sum(math.log10(p((), w)) for w in s[1:])
         full = sum(math.log10(p(tuple(s[max(0, j - order + 1) : j]), s[j])) for j in range(1, len(s)))
-        out.append((i, len(s) - 1, sum(w in words for w in s[1:]), n_all, base, full))
+        failures = 0
+        for j in range(1, len(s)):
+            h = tuple(s[max(0, j - order + 1) : j])
+            while h and not grams[h]:
+                h = h[1:]  # the state is the longest context that was seen
+            while h and not grams[(*h, s[j])]:
+                h, failures = h[1:], failures + 1
+        out.append((i, len(s) - 1, sum(w in words for w in s[1:]), n_all, base, full, failures))
     # every distribution sums to 1 over the known tokens and the unknown one
     for h in list(grams)[:50]:
         if len(h) == order - 1 and h[-1] != "</s>":
@@ -46,7 +53,7 @@ def brute(rows, order, k):
     return out
 
 
-@pytest.mark.parametrize("order,block_bytes", [(2, 100), (3, 10**7), (1, 300)])
+@pytest.mark.parametrize("order,block_bytes", [(2, 100), (3, 10**7), (4, 500), (1, 300)])
 def test_against_brute_force(spark, order, block_bytes):
     rng = random.Random(order)
     vocab = ["The", "the", "of", "É", "é", "x.", "GO", "go"] + [f"w{i}" for i in range(30)]
@@ -55,10 +62,12 @@ def test_against_brute_force(spark, order, block_bytes):
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(3)
     got = {r["doc_id"]: r for r in lm_scores(df, order=order, k=3.0, block_bytes=block_bytes, part_entries=50).collect()}
     assert len(got) == len(rows)
-    for i, n, known, total, base, full in brute(rows, order, 3.0):
+    for i, n, known, total, base, full, failures in brute(rows, order, 3.0):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(full)
+        assert r["n_failures"] == failures
+    assert (sum(r["n_failures"] for r in got.values()) > 0) == (order > 1)
 
 
 def test_no_training_rows_and_empty(spark):

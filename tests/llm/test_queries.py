@@ -67,7 +67,7 @@ def test_sharding(spark):
 def test_language_model(spark):
     rows = [(d, r["text"], zlib.crc32(str(d).encode()) % 7 == 2) for d, r in DOCS.items()]
     got = {r["doc_id"]: r for r in QUERIES["op8_backoff_lm"](spark, DATA).collect()}
-    for i, n, known, total, base, full in lm_brute(rows, ORDER, K):
+    for i, n, known, total, base, full, failures in lm_brute(rows, ORDER, K):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(full)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(full) and r["n_failures"] == failures
