@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.storage import cut, shared_dir
 
-__all__ = ["aside", "bitmap", "column", "cut", "drop_clashes", "in_bitmap", "parts", "private", "restored", "shared_dir", "spread", "table", "text_bytes", "words_text"]
+__all__ = ["aside", "bitmap", "column", "cut", "drop_clashes", "in_bitmap", "parts", "private", "restored", "shared_dir", "skew_join", "spread", "table", "text_bytes", "words_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,28 @@ def in_bitmap(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
+#: A key is hot with more rows than this and more than a HOT_KEYS-th of all rows; so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def skew_join(rows: DataFrame, keys: DataFrame, by: list[str], weight: str, apart: Column) -> DataFrame:
+    """rows left-joined with keys (one row a key; `weight` is about how many rows have it) without a task that gets a hot key's rows.
+
+    Hot keys are few by definition and go by broadcast.  Their rows then enter the shuffle
+    under `apart`, a value in place of the first key that no key has.
+    """
+    often = max(HOT_ROWS, int(keys.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
+    more = [c for c in keys.columns if c not in (*by, weight)]
+    hot, here, first = private(rows, "hot", "here", "first")
+    found = F.struct(*[column(c) for c in more]).alias(hot)
+    out = rows.join(F.broadcast(keys.where(column(weight) > often).select(*by, found)), by, "left")
+    out = out.withColumn(first, F.col(by[0])).withColumn(by[0], F.when(F.col(hot).isNull(), F.col(by[0])).otherwise(apart))
+    cold = keys.where(column(weight) <= often).select(*by, found).withColumnRenamed(hot, here)
+    out = out.join(cold, by, "left").withColumn(by[0], F.col(first))
+    got = F.coalesce(F.col(hot), F.col(here))
+    return out.select(*[column(c) for c in rows.columns], *[got[c].alias(c) for c in more])
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a table."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text)))).first()

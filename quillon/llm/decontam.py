@@ -9,20 +9,27 @@ words, in a third in which every word stays itself, and in a fourth in which cap
 words that begin a text, line or sentence are names, too; windows of all views count.
 
 Templates of documents are joined with those of benchmark items by hash.  Before the
-shuffle a fixed 2 MB bitmap of the items' templates drops most windows (it never drops a
-match).  Matches are grouped by (document, item, offset); of an offset's windows those
-count that are consistent, so that each item value stands for one document value of its
-type (two item values may get the same one).  Where windows contradict each other, the
+shuffle a bitmap of the items' templates of at most 8 MB drops most windows (it never drops
+a match).  Matches are grouped by (document, item), wherever in the document they are; those
+windows count that are consistent, so that each item value stands for one document value of
+its type (two item values may get the same one).  Where windows contradict each other, the
 consistent ones that cover most words are kept; a window without the slot in question
 never goes.  A document is contaminated by an item when consistent matches cover at least
 `min_cover` of the item's words.
 
+Numbers are digits or number words of four languages; number words that follow each other
+("twenty five"), or a digit ("2 million"), are one number.  An item of fewer than
+`MIN_WORDS` words is too little for templates: it is matched as it is, as the whole sequence
+of its words with their punctuation, whatever the case; one of a single word is matched
+with texts that are this word and nothing else.
+
 Defined results
-* null or empty documents and items match nothing; items of fewer than `min_words` words
-  are ignored, items shorter than `width` are one template of their own length.
+* null or empty documents and items match nothing; items shorter than `width` are one
+  template of their own length.
 * equal items (ties) are all reported.  Repeated rows get equal results; rows of one id
   are told apart by a hash of their text.  Null ids are reported as null.
-* empty tables give empty results; extra columns pass through `decontaminate` untouched.
+* empty tables give empty results; extra columns pass through `decontaminate` untouched,
+  whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, cut, in_bitmap
+from quillon.llm.common import bitmap, column, cut, in_bitmap, private
 from quillon.llm.textkit import BYTE, U, list_column, mix64, plain, row_of, span_hashes, words
 
 WIDTH, MIN_WORDS, MIN_COVER = 8, 5, 0.5
@@ -44,16 +51,39 @@ MIN_LITERAL = 0.5
 #: Steps of the search for the largest consistent set.  Past them every window counts that does not contradict itself.
 MAX_STEPS = 2000
 
-#: Words that are units when they follow a number.
+#: Words that are units when they follow a number, in English, German, French and Spanish.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles "
     "mg g kg t lb lbs oz gram grams kilogram kilograms kilo kilos tonne tonnes ton tons pound pounds ounce ounces "
     "ml cl l litre litres liter liters gallon gallons cup cups pint pints "
     "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres "
-    "dollar dollars cent cents euro euros eur usd gbp yen percent degrees degree mph kmh kph w kw kwh v hz khz mhz ghz kb mb gb tb"
+    "dollar dollars cent cents euro euros eur usd gbp yen percent degrees degree mph kmh kph w kw kwh v hz khz mhz ghz kb mb gb tb "
+    "gramm kilogramm tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "gramme grammes kilogramme kilogrammes mètre mètres kilomètre kilomètres seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés "
+    "gramo gramos kilogramo kilogramos tonelada toneladas litro litros metro metros kilómetro kilómetros segundo segundos minuto minutos hora horas día días semana mes meses año años grado grados"
+).split()
+#: Number words of the same languages.  Words that are articles, units or commoner as something else are left out.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+    "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+    "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones"
 ).split()
 
+
+def _compounds() -> list[str]:
+    """Number words that are made of others: twenty-five, fünfundzwanzig, vingt-cinq."""
+    english, german, french = NUMBER_WORDS[1:10], ["ein", *NUMBER_WORDS[33:41]], ["un", *"deux trois quatre cinq six sept huit neuf".split()]
+    out = [f"{t}-{u}" for t in NUMBER_WORDS[20:28] for u in english]
+    out += [f"{u}und{t}" for t in "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split() for u in german]
+    out += [f"{t}-{u}" for t in "vingt trente quarante cinquante soixante".split() for u in french]
+    return [*out, "quatre-vingts", "quatre-vingt"]
+
+
 _CORE = np.ones(256, bool)  # bytes of which the inside of a word is made; all but ASCII punctuation
 _CORE[[b for b in range(128) if not chr(b).isalnum()]] = False
 _DIGIT = np.zeros(256, bool)
@@ -65,13 +95,13 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 NUM, UNIT, NAME = U(0x4E554D), U(0x554E4954), U(0x4E414D45)
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
-    ends = np.cumsum([len(u) + 1 for u in UNITS]) - 1
-    return np.sort(span_hashes(BYTE[data], ends - [len(u) for u in UNITS], ends))
+def _hashes(some: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in some]
+    ends = np.cumsum([len(w) + 1 for w in raw]) - 1
+    return np.sort(span_hashes(BYTE[np.frombuffer(b" ".join(raw), np.uint8)], ends - [len(w) for w in raw], ends))
 
 
-_UNITS = _unit_hashes()
+_UNITS, _NUMBERS = _hashes(UNITS), _hashes([*NUMBER_WORDS, *_compounds()])
 
 
 def _upper_start(b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -94,16 +124,26 @@ class Canonical:
             has = (np.cumsum(core)[e - 1] - np.where(s > 0, np.cumsum(core)[s - 1], 0)) > 0
         keep = np.flatnonzero(has)
         s2, e2 = ahead[s[keep]], back[e[keep] - 1] + 1
-        self.row = row_of(low.first)[keep]
-        self.value = span_hashes(BYTE[b], s2, e2)
+        row = row_of(low.first)[keep]
+        value = span_hashes(BYTE[b], s2, e2)
         total = lambda m: np.concatenate([[0], np.cumsum(m[b])])
         digits, numeric = total(_DIGIT), total(_NUMERIC)
-        number = (digits[e2] > digits[s2]) & ((numeric[e2] - numeric[s2] == e2 - s2) | _DIGIT[b[s2]] if len(s2) else np.zeros(0, bool))
+        spoken = np.isin(value, _NUMBERS)
+        number = spoken | ((digits[e2] > digits[s2]) & ((numeric[e2] - numeric[s2] == e2 - s2) | _DIGIT[b[s2]] if len(s2) else np.zeros(0, bool)))
+        # Case and sentence ends are read off the text as it came.
+        rb, rs, re_ = raw.data, raw.start[keep], raw.end[keep]
+        stops = _STOP[rb[re_ - 1]] | (rb[re_ - 1] == ord(",")) if len(keep) else np.zeros(0, bool)
+        joins = np.zeros(len(keep), bool)  # number words that go on with the number before them
+        joins[1:] = spoken[1:] & number[:-1] & ~stops[:-1] & (row[1:] == row[:-1])
+        at = np.flatnonzero(~joins)
+        last = np.append(at[1:], len(keep))[: len(at)]
+        self.row = row[at]
+        self.value = np.where(last > at + 1, span_hashes(value, at, last), value[at]) if len(at) else value
+        number, rs, re_ = number[at], rs[at], re_[last - 1]
+        keep = at
         unit = np.zeros(len(keep), bool)
         unit[1:] = number[:-1] & (self.row[1:] == self.row[:-1])
         unit &= ~number & np.isin(self.value, _UNITS)
-        # Case and sentence ends are read off the text as it came.
-        rb, rs, re_ = raw.data, raw.start[keep], raw.end[keep]
         begin = np.ones(len(keep), bool)
         if len(keep):
             newline = np.concatenate([[0], np.cumsum(rb == 0x0A)])
@@ -135,15 +175,34 @@ class Canonical:
 
 
 _ROWS = "rid long, th long, pos int, width int, hash long, words array<long>, keys array<long>, n_words int"
+_RAW = U(0x524157)  # marks the hashes of items that are matched as they are
+
+
+def _template_rows(batch: pa.RecordBatch, rows: np.ndarray, pos: np.ndarray, width: int, h: np.ndarray, values: np.ndarray, keys: np.ndarray, n_words: np.ndarray) -> pa.RecordBatch:
+    take, size_of = pa.array(rows), np.full(len(rows), width)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("rid").take(take),
+            batch.column("th").take(take),
+            pa.array(pos.astype(np.int32)),
+            pa.array(np.full(len(rows), width, np.int32)),
+            pa.array(h.view(np.int64)),
+            list_column(values.ravel().view(np.int64), size_of, pa.int64()),
+            list_column(keys.ravel().view(np.int64), size_of, pa.int64()),
+            pa.array(n_words.astype(np.int32)),
+        ],
+        names=["rid", "th", "pos", "width", "hash", "words", "keys", "n_words"],
+    )
 
 
-def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
+def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None, raw_widths: list[int] | None = None):
     """mapInArrow function from (rid, th, text) to template rows.
 
     With `whole` (benchmark items) an item's width is min(whole, its words) and all rows
-    come; else windows of all `widths` come, if the bitmap has them.  `words` are the values
-    of a window's words, `keys` name the slots among them by type and value, 0 is none; a name
-    that a view keeps as a word has its key, too, for it stands for itself there.
+    come; else windows of all `widths` come, if the bitmap has them, and of `raw_widths` words
+    as they are.  `words` are the values of a window's words, `keys` name the slots among
+    them by type and value, 0 is none; a name that a view keeps as a word has its key, too,
+    for it stands for itself there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,21 +224,24 @@ def _windows(widths: list[int], whole: int | None, bits: np.ndarray | None):
                         near = at[:, None] + np.arange(width)
                         slot = c.views[-1][near]
                         keys = np.where(slot > 0, mix64(c.value[near] ^ slot), U(0))
-                        size_of = np.full(len(at), width)
-                        take = pa.array(row + a.rows.start)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column("rid").take(take),
-                                batch.column("th").take(take),
-                                pa.array((at - c.first[row]).astype(np.int32)),
-                                pa.array(np.full(len(at), width, np.int32)),
-                                pa.array(h.view(np.int64)),
-                                list_column(c.value[near].ravel().view(np.int64), size_of, pa.int64()),
-                                list_column(keys.ravel().view(np.int64), size_of, pa.int64()),
-                                pa.array(size[row].astype(np.int32)),
-                            ],
-                            names=["rid", "th", "pos", "width", "hash", "words", "keys", "n_words"],
-                        )
+                        yield _template_rows(batch, row + a.rows.start, at - c.first[row], width, h, c.value[near], keys, size[row])
+                # Items of few words, as they are.
+                plain_size, row_all = np.diff(b.first), row_of(b.first)
+                short = (size < MIN_WORDS) & (plain_size > 0)
+                own = np.unique(np.minimum(plain_size[short], whole)).tolist() if whole else raw_widths or []
+                for width in own:
+                    if len(b.hashes) < width:
+                        continue
+                    at = np.flatnonzero(row_all[: len(b.hashes) - width + 1] == row_all[width - 1 :])
+                    row = row_all[at]
+                    good = short[row] & (np.minimum(plain_size[row], whole) == width) if whole else plain_size[row] == 1 if width == 1 else np.ones(len(at), bool)
+                    at, row = at[good], row[good]
+                    h = mix64(span_hashes(b.hashes, at, at + width) ^ _RAW)
+                    good = np.ones(len(at), bool) if whole else in_bitmap(bits, h)
+                    at, row, h = at[good], row[good], h[good]
+                    if len(at):
+                        near = at[:, None] + np.arange(width)
+                        yield _template_rows(batch, row + a.rows.start, at - b.first[row], width, h, b.hashes[near], np.zeros(near.shape, U), plain_size[row])
 
     return run
 
@@ -238,37 +300,37 @@ def _consistent(windows):
 
 
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(F.col(id_col).cast("long").alias("rid"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select(column(id_col).cast("long").alias("rid"), F.xxhash64(column(text_col)).alias("th"), F.coalesce(column(text_col), F.lit("")).alias("text"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, min_cover: float = MIN_COVER) -> DataFrame:
     """(id, th, item, cover, n_slots, reparameterised) for each document and item that contaminates it."""
     items = _keyed(benchmark, item_col, item_text)
     templates = cut(items.mapInArrow(_windows(list(range(MIN_WORDS, width + 1)), width, None), _ROWS).distinct())
-    widths = sorted(r[0] for r in templates.select("width").distinct().collect())
+    # Widths are at most `width`, so these lists are short.
+    widths = sorted(r[0] for r in templates.where(F.col("width") >= MIN_WORDS).select("width").distinct().collect())
+    tops = items.mapInArrow(_windows([], width, None), _ROWS)
+    raw_widths = sorted(r[0] for r in tops.select("width").distinct().collect())
     bits = bitmap(templates, "hash")
-    hits = _keyed(docs, id_col, text_col).mapInArrow(_windows(widths, None, bits), _ROWS)
+    hits = _keyed(docs, id_col, text_col).mapInArrow(_windows(widths, None, bits, raw_widths), _ROWS)
     ours = templates.select("hash", "width", F.col("rid").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("at"), F.col("words").alias("item_values"), "keys", F.col("n_words").alias("item_words"))
-    both = hits.select("rid", "th", "hash", "width", "pos", "words").join(ours, ["hash", "width"])
+    both = hits.select("rid", "th", "hash", "width", "words").join(ours, ["hash", "width"])
     zipped = F.filter(F.arrays_zip(F.col("keys").alias("i"), F.col("words").alias("d"), F.col("item_values").alias("v")), lambda p: p["i"] != 0)
     pairs = F.transform(zipped, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), (p["d"] == p["v"]).alias("same")))
-    lines = both.groupBy("rid", "th", "item", "item_th", "item_words", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set(F.struct("at", "width", pairs.alias("pairs"))).alias("windows"))
+    # Windows with the same place in the item and the same slots are one, however often a document holds them.
+    lines = both.groupBy("rid", "th", "item", "item_th", "item_words").agg(F.collect_set(F.struct("at", "width", pairs.alias("pairs"))).alias("windows"))
     pairs_of = lambda: F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"])))
     clash = F.size(pairs_of()) > F.size(F.array_distinct(F.transform(pairs_of(), lambda p: p["i"])))
     kept = lines.withColumn("keep", F.udf(_consistent, "array<int>")(F.when(clash, F.col("windows"))))
     kept = kept.withColumn("windows", F.when(F.col("keep").isNull(), F.col("windows")).otherwise(F.transform("keep", lambda j: F.get("windows", j))))
     covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1))))
-    fair = kept.select("rid", "th", "item", "item_th", "item_words", covered.alias("covered"), pairs_of().alias("pairs"))
-    out = fair.groupBy("rid", "th", "item", "item_th", "item_words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"),
-        F.max(F.size("pairs")).cast("long").alias("n_slots"),
-        F.max(F.exists("pairs", lambda p: ~p["same"])).alias("reparameterised"),
-    )
-    return out.withColumn("cover", F.col("n") / F.col("item_words")).where(F.col("cover") >= min_cover).select("rid", "th", "item", "cover", "n_slots", "reparameterised").distinct()
+    out = kept.select("rid", "th", "item", (F.size(covered) / F.col("item_words")).alias("cover"), F.size(pairs_of()).cast("long").alias("n_slots"), F.exists(pairs_of(), lambda p: ~p["same"]).alias("reparameterised"))
+    return out.where(F.col("cover") >= min_cover).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, unchanged."""
-    bad = matches(docs, benchmark, id_col, text_col, **options).select("rid", F.col("th").alias("_bad")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
-    return rows.join(bad, F.col(id_col).cast("long").eqNullSafe(bad["rid"]) & (F.col("_th") == F.col("_bad")), "left_anti").drop("_th")
+    rid, th, own = private(docs, "rid", "th", "own")
+    bad = matches(docs, benchmark, id_col, text_col, **options).select(F.col("rid").alias(rid), F.col("th").alias(th)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(column(text_col)))
+    return rows.join(bad, column(id_col).cast("long").eqNullSafe(F.col(rid)) & (F.col(own) == F.col(th)), "left_anti").drop(own)

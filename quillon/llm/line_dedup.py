@@ -24,9 +24,8 @@ Steps
    keys.  No pairs within a key are ever made.
 5. The edit distance of a text and the partner it met is verified on the texts.
 
-Skew: a text with very many occurrences (more than HOT_LINES, and more than a
-HOT_TEXTS-th of all) is looked up in a broadcast table of at most HOT_TEXTS rows instead
-of being shuffled.
+Skew: texts with very many occurrences are looked up in a broadcast table of bounded size
+and their lines are spread (see common.skew_join).
 
 Texts are told apart by two 64-bit hashes.  Rows of one id are told apart by 31 bits of a
 hash of their text.
@@ -50,14 +49,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private
+from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private, skew_join
 from quillon.llm.textkit import BASE_INV, BYTE, OTHER, U, Lines, lines, mix64, plain, powers, row_of, span_hashes
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
 #: Characters of a line for each edit of its bound, and the largest bound.
 PER_EDIT, MAX_EDITS = 20, 1
-#: A text occurs often with more lines than this; at most HOT_TEXTS such texts are broadcast.
-HOT_LINES, HOT_TEXTS = 1000, 50_000
 _LENGTH = U(0xA0761D6478BD642F)
 _WILD = U(0x2545F4914F6CDD1D)
 
@@ -296,14 +293,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fu
     else:
         texts = texts.withColumn("near", F.lit(None).cast("decimal(38,0)"))
     first = texts.where("c > 1 or near is not null").select("t1", "t2", "c", F.least("place", F.coalesce("near", "place")).alias("first"))
-    first = cut(first)
-    often = max(HOT_LINES, int(first.agg(F.sum("c")).first()[0] or 0) // HOT_TEXTS)
-    hot = F.broadcast(first.where(F.col("c") > often).select("t1", "t2", F.col("first").alias("hot_first")))
-    found = rows.mapInArrow(_all_lines, "t1 long, t2 long, place decimal(38,0)").join(hot, ["t1", "t2"], "left")
-    # An occurrence of such a text goes to any partition, under a key that no other text has with it.
-    spread = found.withColumn("t1", F.when(F.col("hot_first").isNull(), F.col("t1")).otherwise(F.xxhash64("place")))
-    cold = first.where(F.col("c") <= often).select("t1", "t2", "first")
-    gone = spread.join(cold, ["t1", "t2"], "left").where(F.coalesce("hot_first", "first") < F.col("place"))
+    every = rows.mapInArrow(_all_lines, "t1 long, t2 long, place decimal(38,0)")
+    gone = skew_join(every, cut(first), ["t1", "t2"], "c", F.xxhash64("place")).where("first < place")
     gone = gone.select("place", F.expr(f"pmod(place, {_STEP})").cast("int").alias("no"))
     gone = gone.select("no", ((F.col("place") - F.col("no")) / F.lit(_STEP).cast("decimal(12,0)")).cast("decimal(38,0)").alias("document"))
     return gone.groupBy("document").agg(F.array_sort(F.collect_set("no")).alias("removed_lines"))

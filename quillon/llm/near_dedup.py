@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, cut, in_bitmap
+from quillon.llm.common import bitmap, column, cut, in_bitmap, private
 from quillon.llm.components import components
 from quillon.llm.textkit import U, list_column, mix64, plain, row_of, row_windows, span_hashes, words
 
@@ -125,7 +125,7 @@ def _list_rows(k: int, num: int, den: int, common: np.ndarray):
             vals = plain(batch.column("vals"))
             flat, sizes = np.asarray(vals.flatten()), np.asarray(vals.value_lengths())
             row = np.repeat(np.arange(len(sizes)), sizes)
-            hot = in_bitmap(common, flat.view(U))
+            hot = in_bitmap(common, flat.view(U)) if common is not None else np.zeros(len(flat), bool)
             order = np.lexsort((flat, hot, row))
             n = batch.column("n").to_numpy()
             p = np.array([prefix_length(int(x), k, num, den) for x in n], np.int64)
@@ -270,7 +270,7 @@ def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame, num: int, den:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ngram: int, k: int, cap: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, n, cid), and (cid, component_id) of the classes with a shingle."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("th"), column(text_col).alias("text"))
     marked = rows.mapInArrow(_class_rows(ngram, 0), "id long, th long, n long, cid long")
     sketched = rows.mapInArrow(_class_rows(ngram, k), "id long, th long, n long, cid long, vals array<long>")
     classes = cut(sketched.where("n > 0").groupBy("cid").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.first("vals").alias("vals")))
@@ -310,6 +310,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, one document of each component, unchanged."""
-    marks = near_duplicates(docs, num, den, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_id"), F.coalesce("th", F.lit(0)).alias("_h")).distinct()
-    rows = docs.withColumn("_th", F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
-    return rows.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_anti").drop("_th")
+    own, th, mark = private(docs, "own", "th", "mark")
+    marks = near_duplicates(docs, num, den, id_col, text_col, **options).where("not kept").select(column(id_col).alias(own), F.coalesce("th", F.lit(0)).alias(mark)).distinct()
+    rows = docs.withColumn(th, F.coalesce(F.xxhash64(column(text_col)), F.lit(0)))
+    return rows.join(marks, column(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(th) == F.col(mark)), "left_anti").drop(th)

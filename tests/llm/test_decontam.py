@@ -100,3 +100,39 @@ def test_names_that_begin_sentences(spark):
     assert {1, 2, 3} <= {k[0] for k in got} and (4, 1) not in got
     assert got[1, 1]["cover"] == 1.0 and got[1, 1]["reparameterised"] and not got[2, 1]["reparameterised"]
     assert got.get((5, 1), {"cover": 0})["cover"] < 1.0
+
+
+def test_short_items_are_matched_as_they_are(spark):
+    items = [(1, "What is 2 + 2?"), (2, "+ - * / 7 ="), (3, "Paris")]
+    docs = [(1, "He said: what is 2 + 2? Nobody knew."), (2, "What is 2 2?"), (3, "what is 3 + 3?"), (4, "We write + - * / 7 = here"), (5, "Paris is large"), (6, " PARIS\n")]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (4, 2), (6, 3)} and all(r["cover"] == 1.0 for r in got.values())
+
+
+def test_number_words_and_lengths(spark):
+    shop = "the shop sold 12 red pens to one man and then sold 25 blue pens to his son before it closed"
+    words = shop.replace("12", "twelve").replace("25", "twenty five")
+    hyphen = shop.replace("12", "ninety-nine").replace("25", "2 million")
+    french = "il a vendu 12 stylos rouges pendant 3 heures et puis 25 stylos bleus avant la fin du jour"
+    german = "er lief 12 kilometer in 3 stunden und danach noch 25 meter weiter bis zum alten haus am see"
+    docs = [(1, words), (2, hyphen), (3, french.replace("12", "quinze").replace("25", "vingt-cinq").replace("heures", "jours")), (4, german.replace("25", "fünfunddreißig").replace("meter", "kilometer").replace("stunden", "tagen"))]
+    got = found(spark, docs, [(1, shop), (2, french), (3, german)])
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert all(r["reparameterised"] and r["cover"] == 1.0 for k, r in got.items() if k != (4, 3)) and got[4, 3]["cover"] >= 0.5
+
+
+def test_slots_are_judged_over_the_whole_document(spark):
+    """One item value that stands for two document values is a conflict, however far apart they are."""
+    item = "the shop sold 12 red pens to a man in town and the other shop sold 12 blue pens to his son"
+    plain = item.replace("sold 12 red", "sold 7 red").replace("sold 12 blue", "sold 9 blue")
+    moved = plain.replace("in town and", "in town today and")
+    got = found(spark, [(1, plain), (2, moved), (3, item.replace("12", "7"))], [(1, item)])
+    assert got[3, 1]["cover"] == 1.0
+    assert all(got.get((d, 1), {"cover": 0})["cover"] < 1.0 for d in (1, 2))
+    assert got.get((2, 1), {"cover": 0})["cover"] <= got.get((1, 1), {"cover": 0})["cover"]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, Q, "a", 1, "k"), (2, "clean text", "b", 2, "k")], "doc_id long, text string, th string, rid long, own string")
+    out = decontaminate(docs, spark.createDataFrame([(1, Q)], ITEM))
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "clean text", "b", 2, "k")]

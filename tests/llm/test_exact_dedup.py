@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillon.llm.exact_dedup import PerfectHash, drop_repeats, exact_dedup
+from quillon.llm import common
+from quillon.llm.exact_dedup import PerfectHash, dedup_onto, drop_repeats, exact_dedup
 
 SCHEMA = "doc_id long, text string, KEPT string"
 
@@ -40,6 +42,23 @@ def test_against_brute_force(spark):
         assert sorted((tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got), key=repr) == brute(rows)
 
 
+def test_incoming_rows_onto_history(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)  # so that the frequent texts count as hot
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "", "hot", "hot", f"t{rng.randint(0, 30)}", "old only" if i <= 100 else "new only"])) for i in range(300)]
+    rows += [rows[0], rows[299], (None, "hot"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(4)
+    for past in (F.col("doc_id") <= 100, F.lit(False), F.lit(True), F.col("doc_id") % 3 == 0):
+        got = dedup_onto(df, past, bucket_keys=16, group_rows=32).collect()
+        assert sorted((tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got), key=repr) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", "z"), (2, "a", "x", "y", "w")], "doc_id long, text string, _id string, own string, Sha string")
+    out = drop_repeats(docs)
+    assert out.columns == [*docs.columns, "text_sha256"] and [r["Sha"] for r in out.collect()] == ["w"]
+
+
 def test_history(spark):
     past = spark.createDataFrame([(1, "a", ""), (9, "a", ""), (2, "b", "")], SCHEMA)
     new = spark.createDataFrame([(3, "a", ""), (4, "c", ""), (5, "c", ""), (6, None, "")], SCHEMA)

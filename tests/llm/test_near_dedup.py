@@ -76,3 +76,10 @@ def test_filter_null_ids_and_empty(spark):
     assert out.columns == ["doc_id", "text", "KEPT"]
     assert sorted(r["KEPT"] for r in out.collect()) == ["b", "d", "e", "f"]
     assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, t, "a", "b", "c"), (2, t, "a", "b", "d"), (3, None, "x", "y", "z")], "doc_id long, text string, _th string, own string, Mark string")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r["Mark"] for r in out.collect()) == ["c", "z"]
