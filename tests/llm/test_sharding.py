@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -59,9 +60,15 @@ def test_weights_confine_movement(spark):
     for r in rows:  # only region b grew, inside it only b1
         assert r["x"] == r["y"] or r["y"] in (2, 3)
         assert not (r["x"] == 3 and r["y"] != 3)
-    for k in range(24, 30):
-        a, b = topology(k), topology(k + 1)
-        assert b.children[:-1] == a.children and b.children[-1].weight == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 23, 24])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    ids = spark.range(12_000).select(F.col("id").cast("string").alias("k"))
+    rows = ids.select(descend(F.col("k"), topology(n)).alias("x"), descend(F.col("k"), topology(n + 1)).alias("y")).collect()
+    assert all(r["y"] in (r["x"], n) for r in rows)
+    for count, k in ((Counter(r["x"] for r in rows), n), (Counter(r["y"] for r in rows), n + 1)):
+        assert set(count) == set(range(k)) and all(abs(c - 12_000 / k) < 6 * math.sqrt(12_000 / k) for c in count.values())
 
 
 def test_no_python_on_executors_and_empty(spark):
