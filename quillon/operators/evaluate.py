@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.storage import cut
+
 
 def hits(found: DataFrame, truth: DataFrame, k: int, truth_k: int | None = None) -> DataFrame:
     """(qid, hits): how many of the first k found are among the first truth_k true ones; 0 for queries without a hit."""
@@ -42,12 +44,19 @@ def range_precision_recall(found: DataFrame, truth: DataFrame, qids: DataFrame)
 
 
 def pareto(points: DataFrame, perf: str = "perf", cost: str = "cost") -> DataFrame:
-    """Points that no cheaper or equal point matches in performance.
+    """Points that no cheaper or equal point matches in performance; of equal points one stays.
 
-    Points are parameter settings, so one task holds them all.
+    The best of each cost comes first, map-side.  Then ranges of the cost are partitions: each
+    looks at its own costs in order, and at the best of all ranges before it, one row a range.
     """
-    before = Window.orderBy(F.col(cost), F.col(perf).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("_best", F.max(perf).over(before)).where(F.col("_best").isNull() | (F.col(perf) > F.col("_best"))).drop("_best")
+    best = points.groupBy(F.col(cost)).agg(F.max(perf).alias(perf))
+    ranged = cut(best.repartitionByRange(cost).withColumn("_range", F.spark_partition_id()))
+    tops = ranged.groupBy("_range").agg(F.max(perf).alias("_top"))
+    before = F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    ranged = ranged.join(F.broadcast(tops.select("_range", before.alias("_before"))), "_range")
+    within = F.max(perf).over(Window.partitionBy("_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.greatest(F.col("_before"), F.col("_within"))
+    return ranged.withColumn("_within", within).where(seen.isNull() | (F.col(perf) > seen)).select(perf, cost)
 
 
 def sweep(search, settings: list[dict], truth: DataFrame, k: int) -> list[dict]:

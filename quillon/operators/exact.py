@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.metrics import Metric, metric
-from quillon.operators.topk import top_k
+from quillon.operators.topk import top_k, union
 
 QUERY_BYTES = 32 << 20
 
@@ -151,9 +151,7 @@ def multi_vector_search(base: DataFrame, queries: DataFrame, num_docs: int, metr
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, len(docs))), pa.array(np.tile(docs, len(qids))), pa.array(near.ravel())], names=["qid", "doc", "cost"])
 
         parts.append(rows.mapInArrow(run, "qid long, doc long, cost double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = union(parts, rows.sparkSession, "qid long, doc long, cost double")
     best = out.groupBy("qid", "doc").agg((F.min("cost") * sign).alias("dist"))
     return top_k(best, num_docs, ident="doc", descending=m.descending).select("qid", "rank", "doc", "dist")
 

@@ -1,8 +1,10 @@
 """Index factory: a short description becomes a pipeline of transforms, an index and an optional re-ranking.
 
 Grammar, comma-separated: transforms `L2norm`, `Centern`, `PCAn`, `PCAWn`, `RRn`, `ITQn`,
-`OPQm`, `Padn`; then one of `Flat`, `IVFn,Flat`, `IVFn,PQm[xb]`, `PQm[xb]`, `SQ8`, `SQ6`,
-`SQ4`, `LSHn[t]`, `HNSWm`, `RaBitQ`; then `RFlat` to re-rank by the vectors themselves.
+`OPQm`, `Padn`; then one of `Flat`, `IVFn,Flat`, `IVFn,PQm[xb]`, `IVFn,c`, `PQm[xb]`,
+`SQ8`, `SQ6`, `SQ4`, `LSHn[t]`, `HNSWm`, `RaBitQ`, `BIVFn` (binary); then `RFlat` to re-rank by
+the vectors themselves.  Coded lists c: `SQ8`, `SQ6`, `SQ4`, `SQfp16`, `SQbf16`, `SQ8direct`,
+`SQ8directsigned`, `RaBitQ`.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import normalised, padded, zipped
-from quillon.operators import codecs, graph, ivf, ivfpq, pq, transforms
+from quillon.operators import codecs, graph, ivf, ivfcodes, ivfpq, pq, transforms
 from quillon.operators.exact import knn_among, knn_join
 
 
@@ -52,6 +54,10 @@ class Index:
             self.state = ivf.IvfIndex.build(df, int(m[1]), it)
         elif m := re.fullmatch(r"IVF(\d+),PQ(\d+)(?:x(\d+))?", c):
             self.state = ivfpq.IvfPqIndex.build(df, int(m[1]), int(m[2]), 1 << int(m[3] or 8), it, it, per_list=False)
+        elif m := re.fullmatch(r"IVF(\d+),(\w+)", c):
+            self.state = ivfcodes.CodedIvf.build(df, int(m[1]), m[2], it)
+        elif m := re.fullmatch(r"BIVF(\d+)", c):
+            self.state = ivfcodes.binary_ivf(df, int(m[1]), it)
         elif m := re.fullmatch(r"PQ(\d+)(?:x(\d+))?", c):
             q = pq.ProductQuantizer.train(df, int(m[1]), 1 << int(m[2] or 8), it)
             self.state = (q, q.encode(df))
@@ -79,6 +85,9 @@ class Index:
             found = knn_join(s, q, n, self.metric, where)
         elif isinstance(s, ivf.IvfIndex):
             found = s.search(q, n, nprobe, self.metric, where)
+        elif isinstance(s, ivfcodes.CodedIvf):
+            asked = q.withColumn("qvec", F.transform("qvec", lambda x: (x >= 0).cast("double"))) if c.startswith("BIVF") else q
+            found = s.search(asked, n, nprobe)
         elif isinstance(s, ivfpq.IvfPqIndex):
             found = s.search(q, n, nprobe)
         elif isinstance(s, graph.GraphIndex):
@@ -124,7 +133,7 @@ def index_factory(description: str, metric: str = "l2") -> Index:
         out.steps.append(s)
         words.pop(0)
     out.core = ",".join(words)
-    if not re.fullmatch(r"Flat|IVF\d+,(Flat|PQ\d+(x\d+)?)|PQ\d+(x\d+)?|SQ[468]|LSH\d+t?|HNSW\d+|RaBitQ", out.core):
+    if not re.fullmatch(r"Flat|IVF\d+,(Flat|PQ\d+(x\d+)?|SQ[468]|SQfp16|SQbf16|SQ8direct|SQ8directsigned|RaBitQ)|BIVF\d+|PQ\d+(x\d+)?|SQ[468]|LSH\d+t?|HNSW\d+|RaBitQ", out.core):
         raise ValueError(f"cannot read index description {description!r}")
     return out
 
@@ -137,6 +146,14 @@ def describe(index: Index) -> str:
 def code_size(description: str, dim: int) -> int:
     """Bytes of a stored vector."""
     core = index_factory(description).core
+    if m := re.fullmatch(r"IVF\d+,(SQfp16|SQbf16|SQ8direct|SQ8directsigned|SQ[468]|RaBitQ)", core):
+        core = m[1]
+    if core in ("SQfp16", "SQbf16"):
+        return 2 * dim
+    if core.startswith("SQ8direct"):
+        return dim
+    if core.startswith("BIVF"):
+        return -(-dim // 8)
     if m := re.search(r"PQ(\d+)(?:x(\d+))?", core):
         return -(-int(m[1]) * int(m[2] or 8) // 8)
     if m := re.fullmatch(r"SQ(\d)", core):

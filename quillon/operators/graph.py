@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.metrics import metric
 from quillon.operators.exact import knn_join, matrix, query_blocks
-from quillon.operators.topk import top_k
+from quillon.operators.topk import top_k, union
 from quillon.storage import cut
 
 SHARD_ROWS = 20_000
@@ -171,11 +171,8 @@ def navigating_search(base: DataFrame, queries: DataFrame, k: int, r: int = 32,
 
         return run
 
-    out = None
-    for qids, q in query_blocks(queries):
-        part = rows.groupBy("shard").applyInArrow(asking(qids, q), "qid long, id long, dist double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k).select("qid", "rank", "id", "dist")
+    parts = [rows.groupBy("shard").applyInArrow(asking(qids, q), "qid long, id long, dist double") for qids, q in query_blocks(queries)]
+    return top_k(union(parts, rows.sparkSession), k).select("qid", "rank", "id", "dist")
 
 
 @dataclass
@@ -206,7 +203,7 @@ class GraphIndex:
             lev, a, b = zip(*flat) if flat else ((), (), ())
             return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(a), pa.int32()), "level": pa.array(lev, pa.int32()), "node": pa.array(a, pa.int64()), "nbr": pa.array(b, pa.int64())})
 
-        edges = rows.groupBy("shard").applyInArrow(run, "shard int, level int, node long, nbr long")
+        edges = cut(rows.groupBy("shard").applyInArrow(run, "shard int, level int, node long, nbr long"))
         return cls(rows, edges, m, metric_name)
 
     def search(self, queries: DataFrame, k: int, ef: int = 50, where: Column | None = None, shards: dict[int, list[int]] | None = None) -> DataFrame:
@@ -239,10 +236,7 @@ class GraphIndex:
 
         for qids, q in query_blocks(queries):
             parts.append(rows.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInArrow(asking(qids, q), "qid long, id long, dist double"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return top_k(out, k).select("qid", "rank", "id", "dist")
+        return top_k(union(parts, rows.sparkSession), k).select("qid", "rank", "id", "dist")
 
     def check(self) -> DataFrame:
         """One row of counts that must be 0: links to self, repeated links, links out of the shard, too many links."""
@@ -263,9 +257,11 @@ def knn_graph(base: DataFrame, k: int, metric_name: str = "l2") -> DataFrame:
     return top_k(got.drop("rank"), k).select(F.col("qid").alias("id"), "rank", F.col("id").alias("nbr"), "dist")
 
 
-def nn_descent(base: DataFrame, k: int, rounds: int = 5, pool: int | None = None, sample: int = 10) -> DataFrame:
+def nn_descent(base: DataFrame, k: int, rounds: int = 12, pool: int | None = None, sample: int = 10, least_change: float = 0.002) -> DataFrame:
     """(id, rank, nbr, dist): approximate neighbour graph; neighbours of neighbours are tried, round by round.
 
+    Rounds end when no more than a share `least_change` of the k nearest links is new, or
+    after `rounds`.
     Each round joins, of every row, its `sample` nearest links, as many drawn by hash, and
     as many of those towards it, so the work of a round grows with the rows only.
     """
@@ -287,11 +283,15 @@ def nn_descent(base: DataFrame, k: int, rounds: int = 5, pool: int | None = None
     start = numbered.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(n)))).alias("at"))
     first = start.join(numbered.select(F.col("id").alias("nbr"), "at"), "at").select("id", "nbr")
     links = cut(best(scored(first), pool))
+    top = lambda some: top_k(some, k, by="id", ident="nbr").select("id", "nbr")
     for r in range(rounds):
+        before = top(links)
         drawn = top_k(links.withColumn("h", F.xxhash64("id", "nbr", F.lit(r))), sample, by="id", value="h", ident="nbr").select("id", "nbr")
         out = drawn.unionByName(top_k(links, sample, by="id", ident="nbr").select("id", "nbr")).distinct()
         back = top_k(links.withColumn("h", F.xxhash64("nbr", "id", F.lit(r))), sample, by="nbr", value="h", ident="id").select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))
         near = out.unionByName(back).distinct()
         hop = near.select(F.col("nbr").alias("mid"), "id").join(near.select(F.col("id").alias("mid"), "nbr"), "mid").select("id", "nbr")
         links = cut(best(links.unionByName(scored(hop)).groupBy("id", "nbr").agg(F.min("dist").alias("dist")), pool))
+        if top(links).join(before, ["id", "nbr"], "left_anti").count() <= least_change * n * k:
+            break
     return top_k(links, k, by="id", ident="nbr").select("id", "rank", "nbr", "dist")

@@ -1,8 +1,8 @@
 """Inverted-file indexes: a coarse quantizer deals vectors into lists; a search joins its nearest lists.
 
-probes = the nprobe nearest centroids of each query (centroids are the bounded side),
-candidates = probes joined with the assignment on the list number, result = top-k.  Stored
-as Parquet partitioned by list, the join prunes the lists that no query probes.
+Centroids are the bounded side.  A search scans the lists that some query probes in place,
+with a running top-k per query, so that neither vectors nor a hot list are shuffled.  Stored
+as Parquet partitioned by list, lists that no query probes are not read.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.metrics import metric
-from quillon.functions.vectors import sq_l2
 from quillon.operators import cluster
-from quillon.operators.exact import knn_join
+from quillon.operators.exact import knn_join, matrix, query_blocks
+from quillon.operators.lists import asking_lists, scan_lists
 from quillon.operators.topk import top_k
 from quillon.sources.manifest import read_manifest, write_manifest
+from quillon.storage import cut
 
 
 @dataclass
@@ -31,7 +33,7 @@ class IvfIndex:
     @classmethod
     def build(cls, base: DataFrame, nlist: int, iterations: int = 10, tol: float = 0.0, empty: str = "keep", keep: tuple[str, ...] = ("id", "vec")) -> IvfIndex:
         centroids, _ = cluster.lloyd(base, cluster.seeds(base, nlist), iterations, tol, empty)
-        return cls(centroids, cluster.assign(base, centroids, keep=keep))
+        return cls(centroids, cut(cluster.assign(base, centroids, keep=keep)))
 
     @property
     def nlist(self) -> int:
@@ -56,14 +58,25 @@ class IvfIndex:
         lists = self.lists if where is None else self.lists.where(where)
         return probes.join(queries.select("qid", "qvec"), "qid").join(lists, "cid")
 
-    def search(self, queries: DataFrame, k: int, nprobe: int, metric_name: str = "l2", where: Column | None = None, max_codes: int | None = None) -> DataFrame:
+    def _blocks(self, queries: DataFrame, nprobe: int, assigned: DataFrame | None) -> list:
+        return [(qids, q, asking_lists(qids, q, self.centroids, nprobe, assigned)) for qids, q in query_blocks(queries)]
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, metric_name: str = "l2", where: Column | None = None, max_codes: int | None = None, assigned: DataFrame | None = None) -> DataFrame:
+        """(qid, rank, id, dist): lists are scanned in place.  assigned(qid, cid): the lists of each query, instead of its nearest ones."""
         m = metric(metric_name)
+        if max_codes is None:
+            return scan_lists(self._scanned(where), self._blocks(queries, nprobe, assigned), k, lambda q, c, v: m.kernel(q, matrix(v)), m.descending)
         scored = self.candidates(queries, nprobe, where, max_codes).select("qid", "id", m.column(F.col("qvec").cast("array<double>"), F.col("vec").cast("array<double>")).alias("dist"))
         return top_k(scored, k, descending=m.descending).select("qid", "rank", "id", "dist")
 
-    def range_search(self, queries: DataFrame, radius: float, nprobe: int) -> DataFrame:
-        scored = self.candidates(queries, nprobe).select("qid", "id", sq_l2(F.col("qvec"), F.col("vec")).alias("dist"))
-        return scored.where(F.col("dist") < radius)
+    def _scanned(self, where: Column | None = None) -> DataFrame:
+        rows = self.lists if where is None else self.lists.where(where)
+        return rows.select(F.col("id").cast("long").alias("id"), "cid", "vec")
+
+    def range_search(self, queries: DataFrame, radius: float, nprobe: int, metric_name: str = "l2", assigned: DataFrame | None = None) -> DataFrame:
+        """(qid, id, dist) of all rows nearer than radius in the lists of each query."""
+        m = metric(metric_name)
+        return scan_lists(self._scanned(), self._blocks(queries, nprobe, assigned), 1, lambda q, c, v: m.kernel(q, matrix(v)), m.descending, radius=radius)
 
     def search_statistics(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """(qid, lists, distances): lists visited and vectors compared."""
@@ -99,9 +112,19 @@ class IvfIndex:
 
 
 def load_or_build(spark: SparkSession, path: str, base: DataFrame, nlist: int, iterations: int = 10) -> IvfIndex:
-    """Loads when the stored parameters are those asked for, else builds and stores anew."""
+    """Loads when the stored index has the lists, dimension and number of rows asked for; builds and stores anew when there is none or another.
+
+    Any other failure is raised and leaves the store as it is.
+    """
+    rows, dim = base.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     try:
-        return IvfIndex.load(spark, path, nlist=nlist)
-    except Exception:
-        IvfIndex.build(base, nlist, iterations).save(path)
-        return IvfIndex.load(spark, path, nlist=nlist)
+        index = IvfIndex.load(spark, path, nlist=nlist, dim=dim)
+        if index.lists.count() == rows:
+            return index
+    except ValueError:  # other parameters
+        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    IvfIndex.build(base, nlist, iterations).save(path)
+    return IvfIndex.load(spark, path, nlist=nlist)

@@ -19,7 +19,7 @@ from quillon.functions.metrics import _l2
 from quillon.operators import cluster
 from quillon.operators.exact import _Best, knn_among, matrix, query_blocks
 from quillon.operators.pq import ProductQuantizer, codes_matrix
-from quillon.operators.topk import top_k
+from quillon.operators.topk import top_k, union
 
 
 @dataclass
@@ -133,10 +133,7 @@ class IvfPqIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.cost))], names=["qid", "id", "dist"])
 
             parts.append(self.codes.where(F.col("cid").isin(probed)).select("id", "cid", "code").mapInArrow(run, "qid long, id long, dist double"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        found = top_k(out, keep).select("qid", "rank", "id", "dist")
+        found = top_k(union(parts, self.codes.sparkSession), keep).select("qid", "rank", "id", "dist")
         return knn_among(found, base, queries, k) if rerank else found
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions.metrics import _l2
 from quillon.operators import cluster
 from quillon.operators.exact import _Best, knn_among, matrix, query_blocks
-from quillon.operators.topk import top_k
+from quillon.operators.topk import top_k, union
 
 
 def codes_matrix(column: pa.Array, m: int) -> np.ndarray:
@@ -138,15 +138,12 @@ class ProductQuantizer:
                         pick = slice(None)
                         if max_hamming is not None:
                             pick = np.flatnonzero(np.bitwise_count(c ^ own[i]).sum(1) < max_hamming)
-                        best.add(i, lut[i][at, c[pick]].sum(1), ids[pick])
+                        best.add(i, np.round(lut[i][at, c[pick]].sum(1), 9), ids[pick])
                 n = [len(x) for x in best.ids]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.cost))], names=["qid", "id", "dist"])
 
             parts.append(codes.select("id", "code").mapInArrow(run, "qid long, id long, dist double"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return top_k(out, k).select("qid", "rank", "id", "dist")
+        return top_k(union(parts, codes.sparkSession), k).select("qid", "rank", "id", "dist")
 
     def search_reranked(self, codes: DataFrame, base: DataFrame, queries: DataFrame, k: int, rerank: int, mode: str = "adc", rerank_metric: str = "l2") -> DataFrame:
         """The best `rerank` (at least k) by codes, re-ranked by exact distance; base vectors are read for those only."""

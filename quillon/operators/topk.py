@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,11 @@ def merge_top_k(parts: list[DataFrame], k: int, descending: bool = False) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return top_k(out.drop("rank"), k, descending=descending)
+
+
+def union(parts: list[DataFrame], spark: SparkSession, schema: str = "qid long, id long, dist double") -> DataFrame:
+    """The parts together; without any, an empty table."""
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

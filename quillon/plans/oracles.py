@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 DIM = 64
-QB = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 50),
-b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id >= 50)"""
+QB = """q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"""
 
 
 def _sum(a: str, b: str, f: str) -> str:
