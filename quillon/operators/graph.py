@@ -257,7 +257,7 @@ def knn_graph(base: DataFrame, k: int, metric_name: str = "l2") -> DataFrame:
     return top_k(got.drop("rank"), k).select(F.col("qid").alias("id"), "rank", F.col("id").alias("nbr"), "dist")
 
 
-def nn_descent(base: DataFrame, k: int, rounds: int = 12, pool: int | None = None, sample: int = 10, least_change: float = 0.002) -> DataFrame:
+def nn_descent(base: DataFrame, k: int, rounds: int = 12, pool: int | None = None, sample: int = 10, least_change: float = 0.01) -> DataFrame:
     """(id, rank, nbr, dist): approximate neighbour graph; neighbours of neighbours are tried, round by round.
 
     Rounds end when no more than a share `least_change` of the k nearest links is new, or
