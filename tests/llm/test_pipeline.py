@@ -88,3 +88,19 @@ def test_stages(spark, fixture):
         assert out.columns[: len(docs.columns)] == docs.columns and (k == 4 or out.columns == docs.columns)
         assert stage(spark, docs.limit(0), path).count() == 0
         assert out.count() <= docs.count()
+
+
+def test_stages_keep_columns_of_any_name(spark, fixture):
+    path, docs, _ = fixture
+    names = ("n_lines", "Removed_Lines", "score", "margin", "rejected", "th", "rid", "own", "decoded", "document")
+    rows = [(*d, *[f"{n}{d[0]}" for n in names]) for d in docs]
+    rows += [rows[3], rows[3], (None, *rows[5][1:]), (rows[6][0], "another text of the same number and of some length here", *rows[6][2:])]
+    wide = spark.createDataFrame(rows, DOCS + "".join(f", {n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, path)
+        assert out.columns[: len(wide.columns)] == wide.columns
+        got = out.collect()
+        assert got
+        for r in got:
+            assert r["doc_id"] is None or all(r[n] == f"{n}{r['doc_id']}" for n in names)
+        assert sum(r["doc_id"] == rows[3][0] for r in got) in (0, 3)  # equal rows are judged alike
