@@ -95,7 +95,7 @@ def pca(base: DataFrame, d_out: int, eigen_power: float = 0.0, epsilon: float =
 def itq(base: DataFrame, d_out: int, iterations: int = 50, sample: int = SAMPLE, seed: int = 123) -> Linear:
     """Rotation after PCA that brings values near their signs."""
     start = pca(base, d_out)
-    x = cluster.seeds(base, sample) @ start.a.T + start.b
+    x = cluster.drawn(base, sample, seed) @ start.a.T + start.b
     r = random_rotation(d_out, seed=seed).a
     for _ in range(iterations):
         u, _, vt = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
@@ -103,9 +103,9 @@ def itq(base: DataFrame, d_out: int, iterations: int = 50, sample: int = SAMPLE,
     return start.then(Linear(r.T, np.zeros(d_out)))
 
 
-def opq(base: DataFrame, m: int, k: int = 16, iterations: int = 10, sample: int = SAMPLE) -> Linear:
+def opq(base: DataFrame, m: int, k: int = 16, iterations: int = 10, sample: int = SAMPLE, seed: int = 123) -> Linear:
     """Rotation that lowers the product-quantization error, by turns of quantizing and of Procrustes."""
-    x = cluster.seeds(base, sample)
+    x = cluster.drawn(base, sample, seed)
     r = np.eye(x.shape[1])
     books = None
     for _ in range(iterations):
