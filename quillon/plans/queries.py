@@ -22,6 +22,7 @@ from quillon.operators.pq import ProductQuantizer
 from quillon.operators.topk import merge_top_k, top_k
 from quillon.plans import oracles as O
 from quillon.plans.oracles import QB, ip, knn, l2, ranked
+from quillon.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -264,7 +265,7 @@ _LI = "b AS (SELECT l_orderkey * 10 + l_linenumber AS id, [min(l_quantity) / 50.
 def kmeans_lineitem(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines = t.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
-    b = lines.select("id", F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0).alias("vec"))
+    b = cut(lines.select("id", F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0).alias("vec")))  # every pass reads it again
     c, _ = cluster.lloyd(b, cluster.seeds(b, 8), 3)
     return cluster.list_sizes(cluster.assign(b, c), 8)
 
