@@ -32,8 +32,3 @@ def answer(queries: DataFrame, base: DataFrame, k: int, path: str, checkpoint: s
         got.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(events: DataFrame, ts: str, every: str, late: str, *keys: str) -> DataFrame:
-    """Rows in each tumbling window, with a watermark for late ones; the same on a batch."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, every), *keys).agg(F.count(F.lit(1)).alias("n"))
