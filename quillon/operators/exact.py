@@ -169,10 +169,3 @@ def refine(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, k
     if k_factor < 1:
         raise ValueError("k_factor must be at least 1")
     return knn_among(candidates.where(F.col("rank") <= int(k * k_factor)), base, queries, k, metric_name)
-
-
-def nearest_1d(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact search on one-dimensional values: base(id, x), queries(qid, x)."""
-    b = base.select("id", F.array(F.col("x").cast("double")).alias("vec"))
-    q = queries.select("qid", F.array(F.col("x").cast("double")).alias("qvec"))
-    return knn_join(b, q, k, "l1")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.functions.metrics import distance
-from quillon.operators import cluster, codecs, evaluate, exact, graph, mutate, transforms
+from quillon.operators import cluster, codecs, evaluate, exact, graph, mutate, onedim, transforms
 from quillon.operators.factory import index_factory
 from quillon.operators.ivf import IvfIndex
 from quillon.operators.ivfcodes import CodedIvf, binary_ivf
@@ -158,7 +158,7 @@ def pairwise_indexed(spark, sf_dir):
 )
 def knn_1d(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
-    return shown(exact.nearest_1d(e.select(F.col("event_id").alias("id"), F.col("value").alias("x")), e.where("event_id % 100 = 0").select(F.col("event_id").alias("qid"), F.col("value").alias("x")), 5))
+    return shown(onedim.nearest(e.select(F.col("event_id").alias("id"), F.col("value").alias("x")), e.where("event_id % 100 = 0").select(F.col("event_id").alias("qid"), F.col("value").alias("x")), 5))
 
 
 # --- vector functions -------------------------------------------------------------------
@@ -258,6 +258,31 @@ def kmeans_spherical(spark, sf_dir):
     return cluster.list_sizes(cluster.assign(b, c, spherical=True), NLIST).join(first, "cid")
 
 
+def _values(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("x"))
+
+
+def _clusters_1d(found: DataFrame) -> DataFrame:
+    return found.select("cid", "n", *[F.round(c, 6).alias(c) for c in ("centroid", "low", "high")], F.round("loss", 3).alias("loss"))
+
+
+@query()
+def clustering_1d(spark, sf_dir):
+    return _clusters_1d(onedim.cluster(_values(spark, sf_dir), 8))
+
+
+@query(
+    "WITH v AS (SELECT value AS x, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY value), "
+    "m AS (SELECT avg(value) AS m FROM events), t AS (SELECT x, n, n * (x - m) AS s, n * (x - m) * (x - m) AS q FROM v, m), "
+    "p AS (SELECT x, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(n) OVER () AS n1, sum(s) OVER () AS s1, sum(q) OVER () AS q1 FROM t WINDOW w AS (ORDER BY x)), "
+    "c AS (SELECT x AS edge FROM p WHERE n < n1 ORDER BY q - s * s / n + (q1 - q) - (s1 - s) * (s1 - s) / (n1 - n), x LIMIT 1), "
+    "g AS (SELECT (value > edge)::INTEGER AS cid, value AS x FROM events, c WHERE value IS NOT NULL) "
+    "SELECT cid, count(*) AS n, round(avg(x), 6) AS centroid, round(min(x), 6) AS low, round(max(x), 6) AS high, round(var_pop(x) * count(*), 3) AS loss FROM g GROUP BY cid"
+)
+def clustering_1d_two(spark, sf_dir):
+    return _clusters_1d(onedim.cluster(_values(spark, sf_dir), 2))
+
+
 _LI = "b AS (SELECT l_orderkey * 10 + l_linenumber AS id, [min(l_quantity) / 50.0, min(l_discount) * 10.0, min(l_tax) * 10.0]::DOUBLE[] AS v FROM lineitem GROUP BY 1)"
 
 
