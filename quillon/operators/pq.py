@@ -26,6 +26,43 @@ def codes_matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, m)
 
 
+def annealed(distances: np.ndarray, steps: int = 20_000, seed: int = 0) -> np.ndarray:
+    """A number for each of K = 2^b codewords, so that bits in which numbers differ follow the codewords' distances.
+
+    Distances are brought to the mean and spread of Hamming distances; near pairs weigh
+    most (2 to the minus their target).  Simulated annealing swaps two numbers at a time;
+    the best numbering seen is returned, at worst the given one.
+    """
+    k = len(distances)
+    bits = k.bit_length() - 1
+    if k != 1 << bits:
+        raise ValueError(f"{k} codewords are no power of two")
+    number, pairs = np.arange(k), ~np.eye(k, dtype=bool)
+    if k < 4 or distances[pairs].std() == 0:
+        return number
+    hamming = np.bitwise_count(number[:, None] ^ number[None, :]).astype(float)
+    scaled = (distances - distances[pairs].mean()) / distances[pairs].std()
+    target = scaled * hamming[pairs].std() + hamming[pairs].mean()
+    weight = np.where(pairs, 0.5**target, 0.0)
+    r = np.random.default_rng(seed)
+    swaps, luck = r.integers(0, k, (steps, 2)), np.log(r.random(steps))
+    gain, least, best, heat = 0.0, 0.0, number.copy(), None
+    for step, (a, b) in enumerate(swaps):
+        if a == b:
+            continue
+        now_a, now_b = hamming[number[a]][number], hamming[number[b]][number]
+        change = weight[a] * ((target[a] - now_b) ** 2 - (target[a] - now_a) ** 2) + weight[b] * ((target[b] - now_a) ** 2 - (target[b] - now_b) ** 2)
+        change[[a, b]] = 0.0  # the two keep their distance
+        delta = 2 * float(change.sum())
+        heat = abs(delta) if heat is None else heat
+        if delta <= 0 or luck[step] * heat * 0.001 ** (step / steps) < -delta:
+            number[a], number[b] = number[b], number[a]
+            gain += delta
+            if gain < least:
+                least, best = gain, number.copy()
+    return best
+
+
 @dataclass
 class ProductQuantizer:
     """codebooks: M x K x sub-dimension."""
@@ -58,6 +95,13 @@ class ProductQuantizer:
             books = cls(books)._step(base)
         return cls(books)
 
+    def polysemous(self, steps: int = 20_000, seed: int = 0) -> ProductQuantizer:
+        """The same codewords numbered anew, so that Hamming distances of codes tell near from far (max_hamming)."""
+        books = np.empty_like(self.codebooks)
+        for j, book in enumerate(self.codebooks):
+            books[j][annealed(np.sqrt(_l2(book, book)), steps, seed + j)] = book
+        return ProductQuantizer(books)
+
     def _step(self, base: DataFrame) -> np.ndarray:
         books, m, k, w = self.codebooks, self.m, self.k, self.width
 

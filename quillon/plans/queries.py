@@ -460,6 +460,14 @@ def pq_polysemous(spark, sf_dir):
     return shown(q.search(codes, asks(spark, sf_dir), K, max_hamming=12))
 
 
+@query()
+def pq_polysemous_trained(spark, sf_dir):
+    """Numbers of codewords are annealed, so that the Hamming filter passes near codes."""
+    b = base(spark, sf_dir)
+    q = ProductQuantizer.train(b, M, KS, ITER).polysemous()
+    return shown(q.search(q.encode(b), asks(spark, sf_dir), K, max_hamming=12))
+
+
 def _exact_of(adc: str) -> str:
     return f"SELECT {adc}.qid, {adc}.id, {l2('q.qv', 'b.v')} AS dist FROM {adc} JOIN q ON {adc}.qid = q.qid JOIN b ON {adc}.id = b.id"
 
