@@ -4,7 +4,9 @@ The base table is scanned once a block of queries, in its own partitioning and w
 shuffle: each task multiplies its Arrow batches with the queries' matrix, keeps a running
 top-k per query, and only those k rows a query and task are shuffled for the final top-k.
 Queries are the small side; they are taken to the driver in blocks of at most QUERY_BYTES,
-so the bytes sent to the executors are bounded whatever the number of queries.
+so the bytes sent to the executors are bounded whatever the number of queries.  A task has
+at most CELLS distances at a time; with several blocks, each one's result is cut before the
+next is collected, so that driver and tasks hold one block.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions.metrics import Metric, metric
 from quillon.operators.topk import top_k, union
+from quillon.storage import cut
 
 QUERY_BYTES = 32 << 20
+#: A task compares this many rows at a time, with so many queries that there are at most CELLS distances (32 MB).
+ROWS, CELLS = 4096, 1 << 22
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -60,21 +65,49 @@ class _Best:
         self.cost[q], self.ids[q] = cost[order], ids[order]
 
 
+class _BlockBest:
+    """The k best rows of each of a block of queries so far, ties by id; all queries of a block at once."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.who, self.ids, self.cost = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.edge = np.full(n, np.inf)  # the k-th best cost, where there are k
+
+    def add(self, cost: np.ndarray, ids: np.ndarray) -> None:
+        """cost: queries x rows."""
+        edge = self.edge
+        if len(ids) > self.k and np.isinf(edge).any():
+            edge = np.fmin(edge, np.partition(cost, self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero(cost <= edge[:, None])
+        if not len(i):
+            return
+        who, near, far = np.concatenate([self.who, i]), np.concatenate([self.ids, ids[j]]), np.concatenate([self.cost, cost[i, j]])
+        order = np.lexsort((near, far, who))
+        who = who[order]
+        n = np.bincount(who, minlength=self.n)
+        first = np.cumsum(n) - n
+        stay = np.arange(len(who)) - first[who] < self.k
+        self.who, self.ids, self.cost = who[stay], near[order][stay], far[order][stay]
+        n = np.minimum(n, self.k)
+        self.edge = np.full(self.n, np.inf)
+        full = np.flatnonzero(n == self.k)
+        self.edge[full] = self.cost[np.cumsum(n)[full] - 1]
+
+
 def _scan(qids: np.ndarray, q: np.ndarray, m: Metric, k: int):
-    sign = -1.0 if m.descending else 1.0
+    sign, wide = -1.0 if m.descending else 1.0, CELLS // ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(qids), k)
+        best = [_BlockBest(len(qids[at : at + wide]), k) for at in range(0, len(qids), wide)]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                ids = part.column(0).to_numpy()
-                cost = sign * m.kernel(q, matrix(part.column(1)))
-                for i in range(len(qids)):
-                    best.add(i, cost[i], ids)
-        n = [len(x) for x in best.ids]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.ids)), pa.array(sign * np.concatenate(best.cost))], names=["qid", "id", "dist"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                ids, x = part.column(0).to_numpy(), matrix(part.column(1))
+                for i, own in enumerate(best):
+                    own.add(sign * m.kernel(q[i * wide : (i + 1) * wide], x), ids)
+        for i, own in enumerate(best):
+            if len(own.who):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i * wide : (i + 1) * wide][own.who]), pa.array(own.ids), pa.array(sign * own.cost)], names=["qid", "id", "dist"])
 
     return run
 
@@ -83,13 +116,15 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric_name: str | Met
     """(qid, rank, id, dist): the k nearest of base(id, vec) for each of queries(qid, qvec); `where` filters base first."""
     m = metric(metric_name)
     rows = (base if where is None else base.where(where)).select(F.col("id").cast("long"), F.col("vec"))
-    out = None
+    parts, last = [], None
+    found = lambda part: top_k(part, k, descending=m.descending).select("qid", "rank", "id", "dist")
     for qids, q in query_blocks(queries, block_bytes=block_bytes):
-        part = rows.mapInArrow(_scan(qids, q, m, k), "qid long, id long, dist double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "qid long, id long, dist double")
-    return top_k(out, k, descending=m.descending).select("qid", "rank", "id", "dist")
+        if last is not None:
+            parts.append(cut(found(last)))
+        last = rows.mapInArrow(_scan(qids, q, m, k), "qid long, id long, dist double")
+    if last is None:
+        last = rows.sparkSession.createDataFrame([], "qid long, id long, dist double")
+    return union([*parts, found(last)], rows.sparkSession)
 
 
 def _scan_range(qids: np.ndarray, q: np.ndarray, m: Metric, radius: float, inclusive: bool):
