@@ -23,6 +23,8 @@ class Metric:
     column: Callable[[Column, Column], Column]
     kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]
     descending: bool = False
+    #: Of rows x and y, one by one, summed from the first dimension to the last; where the kernel's own rounding depends on how it multiplies.
+    pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def _each(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -33,6 +35,20 @@ def _l2(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T), 0.0)
 
 
+def l2_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distance of each row of x to the same row of y, as a sum of squares from left to right: 0 for equal rows."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        gap = x[:, j] - y[:, j]
+        out += gap * gap
+    return out
+
+
+def l2_error(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far _l2 may be from l2_pairs: queries x rows."""
+    return 4 * (q.shape[1] + 4) * np.finfo(float).eps * ((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -100,7 +116,7 @@ def lp(p: float) -> Metric:
 METRICS: dict[str, Metric] = {
     m.name: m
     for m in (
-        Metric("l2", sq_l2, _l2),
+        Metric("l2", sq_l2, _l2, pairs=l2_pairs),
         Metric("ip", inner_product, lambda q, b: q @ b.T, True),
         Metric("ip1", lambda a, b: F.lit(1.0) - inner_product(a, b), lambda q, b: 1.0 - q @ b.T),
         Metric("cosine", _c_cosine, lambda q, b: 1.0 - _unit(q) @ _unit(b).T),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.metrics import Metric, metric
+from quillon.functions.metrics import Metric, l2_error, metric
 from quillon.operators.topk import top_k, union
 from quillon.storage import cut
 
@@ -128,15 +128,27 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric_name: str | Met
 
 
 def _scan_range(qids: np.ndarray, q: np.ndarray, m: Metric, radius: float, inclusive: bool):
+    within = lambda d: (d >= radius if inclusive else d > radius) if m.descending else (d <= radius if inclusive else d < radius)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                d = m.kernel(q, matrix(part.column(1)))
-                hit = (d >= radius if inclusive else d > radius) if m.descending else (d <= radius if inclusive else d < radius)
-                i, j = np.nonzero(hit)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[i]), part.column(0).take(pa.array(j)), pa.array(d[i, j])], names=["qid", "id", "dist"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                x = matrix(part.column(1))
+                for at in range(0, len(q), CELLS // ROWS):
+                    own = q[at : at + CELLS // ROWS]
+                    d = m.kernel(own, x)
+                    if m.pairs is None:
+                        i, j = np.nonzero(within(d))
+                        far = d[i, j]
+                    else:
+                        # The kernel only finds who may be within; the distance itself does not depend on the tile.
+                        i, j = np.nonzero(d <= radius + l2_error(own, x))
+                        far = np.concatenate([m.pairs(own[i[k : k + ROWS]], x[j[k : k + ROWS]]) for k in range(0, len(i), ROWS)] or [np.zeros(0)])
+                        ok = within(far)
+                        i, j, far = i[ok], j[ok], far[ok]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[at + i]), part.column(0).take(pa.array(j)), pa.array(far)], names=["qid", "id", "dist"])
 
     return run
 

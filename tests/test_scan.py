@@ -25,3 +25,15 @@ def test_scan_holds_few_distances_at_a_time():
         order = np.lexsort((ids, d[i]))[:5]
         own = got.filter(pa.array(got["qid"].to_numpy() == i))
         assert own["id"].to_pylist() == ids[order].tolist() and np.allclose(own["dist"].to_numpy(), d[i][order])
+
+
+def test_capped_range_orders_equal_rows_by_id(spark):
+    """Every row is at distance 0 to itself, whatever the matrix product rounds to."""
+    x = np.random.default_rng(1).normal(size=(400, 64))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    asks = base.selectExpr("id as qid", "vec as qvec")
+    got = exact.capped_range(base, asks, 1e-3, 300).collect()
+    assert [(r["qid"], r["id"], r["dist"]) for r in got] == [(i, i, 0.0) for i in range(300)]
+    exactly = float(sum((a - b) * (a - b) for a, b in zip(x[0], x[1])))  # from left to right
+    assert [r["dist"] for r in exact.range_join(base.where("id = 1"), asks.where("qid = 0"), exactly, inclusive=True).collect()] == [exactly]
+    assert exact.range_join(base.where("id = 1"), asks.where("qid = 0"), exactly).count() == 0
