@@ -26,6 +26,14 @@ def codes_matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, m)
 
 
+def looked_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sum of each code's entries in a table (M x K), from the first sub-space to the last: equal codes have equal sums."""
+    out = np.zeros(len(codes))
+    for j in range(codes.shape[1]):
+        out += table[j][codes[:, j]]
+    return out
+
+
 def annealed(distances: np.ndarray, steps: int = 20_000, seed: int = 0) -> np.ndarray:
     """A number for each of K = 2^b codewords, so that bits in which numbers differ follow the codewords' distances.
 
@@ -175,14 +183,13 @@ class ProductQuantizer:
 
             def run(batches: Iterator[pa.RecordBatch], qids=qids, lut=lut, own=own) -> Iterator[pa.RecordBatch]:
                 best = _Best(len(qids), k)
-                at = np.arange(self.m)
                 for batch in batches:
                     ids, c = batch.column(0).to_numpy(), codes_matrix(batch.column(1), self.m)
                     for i in range(len(qids)):
                         pick = slice(None)
                         if max_hamming is not None:
                             pick = np.flatnonzero(np.bitwise_count(c ^ own[i]).sum(1) < max_hamming)
-                        best.add(i, np.round(lut[i][at, c[pick]].sum(1), 9), ids[pick])
+                        best.add(i, looked_up(lut[i], c[pick]) if mode == "adc" else np.round(looked_up(lut[i], c[pick]), 9), ids[pick])
                 n = [len(x) for x in best.ids]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.cost))], names=["qid", "id", "dist"])
 

@@ -37,3 +37,16 @@ def test_capped_range_orders_equal_rows_by_id(spark):
     exactly = float(sum((a - b) * (a - b) for a, b in zip(x[0], x[1])))  # from left to right
     assert [r["dist"] for r in exact.range_join(base.where("id = 1"), asks.where("qid = 0"), exactly, inclusive=True).collect()] == [exactly]
     assert exact.range_join(base.where("id = 1"), asks.where("qid = 0"), exactly).count() == 0
+
+
+def test_code_sums_are_not_rounded_before_they_are_compared(spark):
+    """Rounding to 9 digits first would show 0.123457 for 0.1234564997, and take the lower id of two sums that differ in the tenth digit."""
+    from quillon.operators.pq import ProductQuantizer
+
+    pq = ProductQuantizer(np.sqrt(np.array([[[0.1234564997], [0.1234564996]]])))
+    codes = spark.createDataFrame([(1, bytearray([0])), (2, bytearray([1])), (3, bytearray([1]))], "id long, code binary")
+    asks = spark.createDataFrame([(0, [0.0])], "qid long, qvec array<double>")
+    for most in (None, 9):
+        got = pq.search(codes, asks, 3, max_hamming=most).orderBy("rank").collect()
+        assert [r["id"] for r in got] == [2, 3, 1]
+        assert [round(r["dist"], 6) for r in got] == [0.123456] * 3
