@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -25,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then do the shuffle files and checkpoints of dropped tables go."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
