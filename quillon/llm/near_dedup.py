@@ -294,7 +294,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ng
     links = likely.where("sure").select("a", "b").unionByName(_verified(likely.where("not sure").select("a", "b"), sets, num, den))
     if not hot.isEmpty():
         links = _hot_links(hot, sets, links, num, den, block)
-    comp = components(links)
+    comp = components(cut(links))
     named = classes.select("cid", "label").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "label", "comp")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("label").alias("least"))
     return marked, named.join(least, "comp", "left").select("cid", F.when(F.col("comp").isNull(), F.col("label")).otherwise(F.col("least")).alias("component_id"))
