@@ -75,7 +75,8 @@ MOST_VALUES = MOST_BITS // 2
 def bitmap(values: DataFrame, column: str) -> np.ndarray | None:
     """A one-hash membership filter over a long column of hashes, sized by their number.
 
-    At most MOST_BITS / 64 words reach the driver.  Members always test true; others may.
+    At most MOST_BITS / 64 words reach the driver, as Arrow columns: rows of Python objects
+    would take some hundred bytes a word.  Members always test true; others may.
     None (every value passes) when there are too many values for a filter of bounded size;
     whoever filters must therefore be right without it.
     """
@@ -85,9 +86,9 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray | None:
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
     slot = f"(`{column}` & {bits - 1}L)"
     words = values.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b")
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out.view(np.uint64)
 
 

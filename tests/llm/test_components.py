@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillon.llm.common import bitmap, in_bitmap
 from quillon.llm.components import components
 
 
@@ -41,3 +42,14 @@ def test_few_edges_start_no_rounds(spark, monkeypatch):
     cuts = []
     monkeypatch.setattr(module, "cut", lambda df: cuts.append(1) or df)
     assert components(spark.createDataFrame([(1, 2), (3, 2)], "a long, b long")).count() == 3 and not cuts
+
+
+def test_bitmap_comes_as_columns(spark, monkeypatch):
+    """Python rows of a full bitmap would take hundreds of MB of the driver."""
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)
+    monkeypatch.setattr(type(spark.range(1)), "collect", None)
+    values = spark.range(50_000).selectExpr("xxhash64(id) AS v")
+    bits = bitmap(values, "v")
+    v = values.toArrow()["v"].to_numpy()
+    assert in_bitmap(bits, v).all() and in_bitmap(bits, v + 1).mean() < 0.2
+    assert not in_bitmap(bitmap(values.where("v is null"), "v"), v).any()
