@@ -203,12 +203,60 @@ def multi_vector_search(base: DataFrame, queries: DataFrame, num_docs: int, metr
     return top_k(best, num_docs, ident="doc", descending=m.descending).select("qid", "rank", "doc", "dist")
 
 
+def _matches(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in wanted and in the sorted keys that are equal, all pairs."""
+    lo = np.searchsorted(keys, wanted)
+    n = np.searchsorted(keys, wanted, "right") - lo
+    return np.repeat(np.arange(len(wanted)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _among(qids: np.ndarray, q: np.ndarray, pairs, k: int):
+    """cogroup of candidates(qid, id) and rows(id, vec) of a block: the block's k best of each query."""
+
+    def run(c: pa.Table, t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, x = t["id"].to_numpy(), matrix(t["vec"])
+        names, asked = np.unique(c["id"].to_numpy(), return_inverse=True)
+        who, at = np.searchsorted(qids, c["qid"].to_numpy()), asked
+        known = (who < len(qids)) & (qids[np.minimum(who, len(qids) - 1)] == c["qid"].to_numpy())
+        which = np.unique(who[known] * np.int64(max(1, len(names))) + at[known])
+        who, at = np.divmod(which, max(1, len(names)))
+        # Every row of the id, and every query of the name, as in a join.
+        i, row = _matches(ids, names[at])
+        who = who[i]
+        i, who = _matches(qids, qids[who])
+        row = row[i]
+        far = np.concatenate([pairs(q[who[i : i + ROWS]], x[row[i : i + ROWS]]) for i in range(0, len(who), ROWS)] or [np.zeros(0)])
+        name = qids[who]
+        order = np.lexsort((ids[row], far, name))
+        first = np.searchsorted(name[order], name[order])
+        order = order[np.arange(len(order)) - first < k]
+        return pa.table({"qid": pa.array(name[order], pa.int64()), "id": pa.array(ids[row[order]], pa.int64()), "dist": pa.array(far[order], pa.float64())})
+
+    return run
+
+
 def knn_among(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2") -> DataFrame:
-    """The k nearest among given (qid, id) pairs: a shuffle join on id, then one on qid."""
+    """The k nearest among given (qid, id) pairs.
+
+    Where the metric has distances of pairs, rows are dealt into blocks by a hash of the id; a
+    block gets its vectors once and the ids of the pairs, and gives k rows a query.  It holds
+    at most CELLS different pairs: more queries make smaller blocks.  For other metrics, a
+    shuffle join on id, then one on qid.
+    """
     m = metric(metric_name)
-    both = candidates.select("qid", "id").distinct().join(base.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
-    scored = both.select("qid", "id", m.column(F.col("qvec").cast("array<double>"), F.col("vec").cast("array<double>")).alias("dist"))
-    return top_k(scored, k, descending=m.descending).select("qid", "rank", "id", "dist")
+    if m.pairs is None:
+        both = candidates.select("qid", "id").distinct().join(base.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
+        scored = both.select("qid", "id", m.column(F.col("qvec").cast("array<double>"), F.col("vec").cast("array<double>")).alias("dist"))
+        return top_k(scored, k, descending=m.descending).select("qid", "rank", "id", "dist")
+    n, parts = base.count(), []
+    for qids, q in query_blocks(queries):
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // max(1, min(ROWS, CELLS // len(qids))))))).alias("block")
+        asked = candidates.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id")).where(F.col("qid").between(int(qids[0]), int(qids[-1])))
+        rows = base.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        asked, rows = asked.select("*", block), rows.select("*", block)
+        parts.append(asked.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_among(qids, q, m.pairs, k), "qid long, id long, dist double"))
+    return top_k(union(parts, base.sparkSession), k).select("qid", "rank", "id", "dist")
 
 
 def refine(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, k_factor: float = 1.0, metric_name: str = "l2") -> DataFrame:

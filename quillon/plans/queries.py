@@ -804,7 +804,7 @@ RECALLED = ("ivf_search", "pq_reranked", "ivfpq_per_list", "pqivf", "hnsw_search
 @query()
 def index_recalls(spark, sf_dir):
     """(name, recall): mean share of the exact ten, the query itself among them, that each registered approximate search finds."""
-    truth = exact.knn_join(base(spark, sf_dir), asks(spark, sf_dir), K)
+    truth = cut(exact.knn_join(base(spark, sf_dir), asks(spark, sf_dir), K))
     rows = [evaluate.recall_at_k(QUERIES[name](spark, sf_dir), truth, K).agg(F.avg("recall").alias("recall")).select(F.lit(name).alias("name"), "recall") for name in RECALLED]
     out = rows[0]
     for r in rows[1:]:
