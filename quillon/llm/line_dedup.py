@@ -23,6 +23,8 @@ Steps
    deletions, and every text takes the earliest that it meets within the bound over its
    keys.  No pairs within a key are ever made.
 5. The edit distance of a text and the partner it met is verified on the texts.
+6. Texts with more than one place or an earlier neighbour are joined with the lines.  Lines
+   whose text a bitmap of these lacks stay, and are left out before the join.
 
 Skew: texts with very many occurrences are looked up in a broadcast table of bounded size
 and their lines are spread (see common.skew_join).
@@ -50,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private, skew_join
-from quillon.llm.textkit import BASE_INV, BYTE, OTHER, U, Lines, lines, mix64, plain, powers, row_of, span_hashes
+from quillon.llm.textkit import BASE_INV, BYTE, OTHER, U, Lines, lines, mix64, plain, powers, row_of, sealed, segment_sums
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
 #: Characters of a line for each edit of its bound, and the largest bound.
@@ -90,40 +92,49 @@ class _Split:
 
     def __init__(self, batch: pa.RecordBatch, ln: Lines):
         at = np.flatnonzero(~ln.blank)
-        row = row_of(ln.first)[at]
+        self.row = row_of(ln.first)[at]
+        self.number = at - ln.first[self.row]
         self.start, self.end, self.data = ln.start[at], ln.end[at], ln.data
-        self.t1 = span_hashes(BYTE[ln.data], self.start, self.end).view(np.int64)
-        self.t2 = span_hashes(OTHER[ln.data], self.start, self.end).view(np.int64)
-        part = batch.slice(ln.rows.start, len(ln.rows))
-        take = pa.array(row)
-        self.place = _places(part.column("id").take(take), part.column("tag").to_numpy(zero_copy_only=False)[row], at - ln.first[row])
+        self.part = batch.slice(ln.rows.start, len(ln.rows))
 
-    def halves(self, least: int) -> tuple[np.ndarray, list[pa.Array]]:
-        """Characters of each line, and four half keys of lines of at least `least`.
+    def hashes(self, table: np.ndarray) -> np.ndarray:
+        sums = segment_sums(table, self.data, np.column_stack([self.start, self.end]).ravel())[::2]
+        return sealed(sums, self.start, self.end).view(np.int64)
+
+    def places(self, pick: np.ndarray | slice = slice(None)) -> pa.Array:
+        row = self.row[pick]
+        return _places(self.part.column("id").take(pa.array(row)), self.part.column("tag").to_numpy(zero_copy_only=False)[row], self.number[pick])
+
+    def measured(self, least: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """First hashes and characters of each line, and four half keys of lines of at least `least`.
 
         First and last half at the line's own length, then as the longer text of a pair.  A
         substitution leaves two texts of equal length with a common first or last half.  A
         deletion leaves the shorter text's own half keys with those of the longer text that
-        are made for one character less.
+        are made for one character less.  All are sums of three segments of a line: what is
+        before the middle character, that character, and what is after it.
         """
-        lead = (self.data & 0xC0) != 0x80
-        chars = np.concatenate([[0], np.cumsum(lead)])
-        begin = np.append(np.flatnonzero(lead), len(self.data))  # byte of each character
-        c0 = chars[self.start]
-        n = chars[self.end] - c0
-        cut_at = lambda k: begin[np.minimum(c0 + k, len(begin) - 1)]
-        values, out = BYTE[self.data], []
-        long_enough = n >= least
-        for side, size, (a, b) in (
-            (0, n, (self.start, cut_at(n // 2))),
-            (1, n, (cut_at(n // 2), self.end)),
-            (0, n - 1, (self.start, cut_at((n - 1) // 2))),
-            (1, n - 1, (cut_at((n - 1) // 2 + 1), self.end)),
+        start, end = self.start, self.end
+        inner = np.flatnonzero((self.data & 0xC0) == 0x80)  # bytes that begin no character
+        before = inner - np.arange(len(inner))  # characters that begin before each
+        c0 = start - np.searchsorted(inner, start)
+        n = end - np.searchsorted(inner, end) - c0
+        cut_at = lambda k: np.clip(c0 + k + np.searchsorted(before, c0 + k, "right"), start, end)
+        middle = np.maximum(n - 1, 0) // 2
+        m1, m2 = cut_at(middle), cut_at(middle + 1)
+        sums = segment_sums(BYTE, self.data, np.column_stack([start, m1, m2, end]).ravel())
+        a, b, c = sums[0::4], sums[1::4], sums[2::4]
+        even, long_enough, out = n % 2 == 0, n >= least, []
+        half = np.where(even, m2, m1)
+        for side, size, (x, y), total in (
+            (0, n, (start, half), a + np.where(even, b, U(0))),
+            (1, n, (half, end), c + np.where(even, U(0), b)),
+            (0, n - 1, (start, m1), a),
+            (1, n - 1, (m2, end), c),
         ):
-            a, b = np.where(long_enough, a, 0), np.where(long_enough, b, 0)
-            h = mix64(span_hashes(values, a, b) + size.astype(U) * U(0x9E3779B97F4A7C15) + U(side))
+            h = mix64(sealed(total, x, y) + size.astype(U) * U(0x9E3779B97F4A7C15) + U(side))
             out.append(pa.array(h.view(np.int64), mask=~long_enough))
-        return n, out
+        return sealed(a + b + c, start, end).view(np.int64), n, out
 
 
 _TEXTS = "t1 long, t2 long, place decimal(38,0), c long, n int, half0 long, half1 long, half2 long, half3 long"
@@ -136,31 +147,38 @@ def _distinct_lines(least: int):
         for batch in batches:
             for ln in lines(plain(batch.column("text"))):
                 s = _Split(batch, ln)
-                if not len(s.t1):
+                if not len(s.start):
                     continue
-                n, half = s.halves(least)
-                words = np.frombuffer(s.place.buffers()[1], np.int64).reshape(-1, 2)
-                order = np.lexsort((words[:, 0].view(U), words[:, 1], s.t2, s.t1))
-                a, b = s.t1[order], s.t2[order]
+                (t1, n, half), t2, place = s.measured(least), s.hashes(OTHER), s.places()
+                words = np.frombuffer(place.buffers()[1], np.int64).reshape(-1, 2)
+                order = np.lexsort((words[:, 0].view(U), words[:, 1], t2, t1))
+                a, b = t1[order], t2[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 at = np.flatnonzero(new)
                 take = pa.array(order[at])
                 c = np.diff(np.append(at, len(order)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[at]), pa.array(b[at]), s.place.take(take), pa.array(c.astype(np.int64)), pa.array(n[order[at]].astype(np.int32)), *(h.take(take) for h in half)],
+                    [pa.array(a[at]), pa.array(b[at]), place.take(take), pa.array(c.astype(np.int64)), pa.array(n[order[at]].astype(np.int32)), *(h.take(take) for h in half)],
                     names=["t1", "t2", "place", "c", "n", "half0", "half1", "half2", "half3"],
                 )
 
     return run
 
 
-def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: rows to (t1, t2, place) of every line."""
-    for batch in batches:
-        for ln in lines(plain(batch.column("text"))):
-            s = _Split(batch, ln)
-            yield pa.RecordBatch.from_arrays([pa.array(s.t1), pa.array(s.t2), s.place], names=["t1", "t2", "place"])
+def _repeated_lines(bits: np.ndarray | None):
+    """mapInArrow: rows to (t1, t2, place) of lines whose text the bitmap has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ln in lines(plain(batch.column("text"))):
+                s = _Split(batch, ln)
+                t1 = s.hashes(BYTE)
+                at = np.flatnonzero(in_bitmap(bits, t1.view(U)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(t1[at]), pa.array(s.hashes(OTHER)[at]), s.places(at)], names=["t1", "t2", "place"])
+
+    return run
 
 
 def _picked_lines(bits: np.ndarray | None):
@@ -170,9 +188,10 @@ def _picked_lines(bits: np.ndarray | None):
         for batch in batches:
             for ln in lines(plain(batch.column("text"))):
                 s = _Split(batch, ln)
-                at = np.flatnonzero(in_bitmap(bits, s.t1.view(U)))
-                raw = ln.data.tobytes()
-                yield pa.RecordBatch.from_arrays([s.place.take(pa.array(at)), pa.array([raw[a:b].decode() for a, b in zip(s.start[at].tolist(), s.end[at].tolist())], pa.string())], names=["place", "line"])
+                at = np.flatnonzero(in_bitmap(bits, s.hashes(BYTE).view(U)))
+                if len(at):
+                    raw = ln.data.tobytes()
+                    yield pa.RecordBatch.from_arrays([s.places(at), pa.array([raw[a:b].decode() for a, b in zip(s.start[at].tolist(), s.end[at].tolist())], pa.string())], names=["place", "line"])
 
     return run
 
@@ -293,8 +312,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fu
     else:
         texts = texts.withColumn("near", F.lit(None).cast("decimal(38,0)"))
     first = texts.where("c > 1 or near is not null").select("t1", "t2", "c", F.least("place", F.coalesce("near", "place")).alias("first"))
-    every = rows.mapInArrow(_all_lines, "t1 long, t2 long, place decimal(38,0)")
-    gone = skew_join(every, cut(first), ["t1", "t2"], "c", F.xxhash64("place")).where("first < place")
+    first = cut(first)
+    repeated = rows.mapInArrow(_repeated_lines(bitmap(first, "t1")), "t1 long, t2 long, place decimal(38,0)")
+    gone = skew_join(repeated, first, ["t1", "t2"], "c", F.xxhash64("place")).where("first < place")
     gone = gone.select("place", F.expr(f"pmod(place, {_STEP})").cast("int").alias("no"))
     gone = gone.select("no", ((F.col("place") - F.col("no")) / F.lit(_STEP).cast("decimal(12,0)")).cast("decimal(38,0)").alias("document"))
     return gone.groupBy("document").agg(F.array_sort(F.collect_set("no")).alias("removed_lines"))

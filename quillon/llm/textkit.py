@@ -20,9 +20,12 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; temporary arrays take about 60 bytes for each.
 CHUNK_BYTES = 1 << 20
+_BLOCK = 1 << 16  # bytes whose values stay in a core's cache
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = np.zeros(256, bool)  # of a blank line
+_SPACE[[0x20, 0x09, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -60,12 +63,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes of values[start:end] for many spans at once, mixed with the length."""
-    p, ip = powers(len(values) + 1)
+    p, _ = powers(len(values) + 1)
     s = np.zeros(len(values) + 1, U)
     with np.errstate(over="ignore"):
         np.cumsum(values * p[: len(values)], out=s[1:], dtype=U)
-        h = (s[end] - s[start]) * ip[start]
-        return mix64(h + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        return sealed(s[end] - s[start], start, end)
+
+
+def sealed(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans from the sums of their values times BASE**position."""
+    _, ip = powers(int(start.max()) + 1 if len(start) else 1)
+    with np.errstate(over="ignore"):
+        return mix64(sums * ip[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+
+
+def segment_sums(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of table[byte] * BASE**position between neighbours of `at`, positions in data that never fall.
+
+    Where spans do not overlap this takes a third of the time of the prefix sums of span_hashes.
+    """
+    p, _ = powers(len(data) + 1)
+    w = np.zeros(len(data) + 1, U)  # one more, as a segment may begin at the end
+    with np.errstate(over="ignore"):
+        for a in range(0, len(data), _BLOCK):
+            b = min(a + _BLOCK, len(data))
+            np.take(table, data[a:b], out=w[a:b], mode="clip")
+            w[a:b] *= p[a:b]
+        sums = np.add.reduceat(w, at)[:-1]
+    sums[at[1:] == at[:-1]] = 0
+    return sums
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -174,8 +200,13 @@ def lines(arr: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[Lines]:
         end[:-1] = start[1:] - 1
         last = first[1:][has] - 1
         end[last] = cuts[1:][has]
-        solid = np.concatenate([[0], np.cumsum((b != 0x20) & (b != 0x09) & (b != 0x0D))])
-        yield Lines(range(r, e), first, start, end, b, solid[end] == solid[start])
+        blank = start == end
+        unsure = np.flatnonzero(~blank)
+        unsure = unsure[_SPACE[b[start[unsure]]]]
+        if len(unsure):  # else each line's first byte shows that it is not blank
+            solid = np.concatenate([[0], np.cumsum(~_SPACE[b])])
+            blank[unsure] = solid[end[unsure]] == solid[start[unsure]]
+        yield Lines(range(r, e), first, start, end, b, blank)
         r = e
 
 

@@ -1,6 +1,12 @@
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
+
+from quillon.llm import line_dedup as module
 from quillon.llm.line_dedup import PER_EDIT, line_dedup
+from quillon.llm.textkit import BYTE, OTHER, U, mix64, span_hashes
 
 SCHEMA = "doc_id long, text string, N_Lines string"
 
@@ -106,3 +112,53 @@ def test_null_ids_come_first_and_lines_of_one_id_are_apart(spark):
     out = {(r["doc_id"], r["text"]): r["n_removed"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[(None, rows[0][1])] == 0 and out[(-(1 << 63), "more")] == 1
     assert sorted(t for i, t in out if i == 3) in (["", "x\n\ny"], ["", "y\n\nx"])
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())], names=["id", "tag", "text"])
+
+
+def spans(text: str, least: int):
+    """Hashes and half keys of one line, each from its own bytes."""
+    h = lambda s, table=BYTE: span_hashes(table[np.frombuffer(s.encode(), np.uint8)], np.array([0]), np.array([len(s.encode())]))
+    n = len(text)
+    keys = [(0, n, text[: n // 2]), (1, n, text[n // 2 :]), (0, n - 1, text[: (n - 1) // 2]), (1, n - 1, text[(n - 1) // 2 + 1 :])]
+    halves = [int(mix64(h(s) + np.array([size]).astype(U) * U(0x9E3779B97F4A7C15) + U(side)).view(np.int64)[0]) if n >= least else None for side, size, s in keys]
+    return int(h(text).view(np.int64)[0]), int(h(text, OTHER).view(np.int64)[0]), n, *halves
+
+
+def test_hashes_and_half_keys_of_each_line():
+    rng = random.Random(11)
+    texts = ["\n".join("".join(rng.choice(" \taé日😀") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 5))) for _ in range(80)] + [None, "", " \t\r", "x"]
+    for least in (1, 2, 5):
+        got = {tuple(r[k] for k in ("t1", "t2", "n", "half0", "half1", "half2", "half3")) for out in module._distinct_lines(least)(iter([batch_of(texts)])) for r in out.to_pylist()}
+        assert got == {spans(ln, least) for t in texts if t is not None for ln in t.split("\n") if ln.strip(" \t\r")}
+
+
+def test_hashing_takes_less_than_four_prefix_sums():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    batch = batch_of(["\n".join(" ".join(rng.choices(words, k=50)) for _ in range(10)) for _ in range(1000)])
+    data = np.frombuffer("".join(batch.column("text").to_pylist()).encode(), np.uint8)[: 1 << 20]
+    ends = np.arange(300, len(data), 300)
+
+    def seconds(f):
+        times = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            times.append(time.process_time() - t)
+        return min(times)
+
+    size = sum(len(t) for t in batch.column("text").to_pylist()) / len(data)
+    once = size * seconds(lambda: span_hashes(BYTE[data], ends - 300, ends))
+    assert seconds(lambda: list(module._distinct_lines(PER_EDIT)(iter([batch])))) < 4 * once
+
+
+def test_only_lines_of_repeated_texts_are_joined(spark, monkeypatch):
+    joined = []
+    skew_join = module.skew_join
+    monkeypatch.setattr(module, "skew_join", lambda rows, *args: joined.append(rows.count()) or skew_join(rows, *args))
+    rows = [(i, f"a line of document number {i} {i * i * 7919} alone\nanother {i * 104729} of its own {i}\n{'twice' if i in (3, 250) else i}") for i in range(300)]
+    out = {r["doc_id"]: r["removed_lines"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), fuzzy=False).collect()}
+    assert {i: v for i, v in out.items() if v} == {250: [2]} and 2 <= joined[0] < 20
