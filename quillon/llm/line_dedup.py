@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bitmap, column, cut, drop_clashes, in_bitmap, private, skew_join
 from quillon.llm.textkit import BASE_INV, BYTE, OTHER, U, Lines, lines, mix64, plain, powers, row_of, sealed, segment_sums
+from quillon.storage import collected
 
 OUTPUTS = ("n_lines", "n_removed", "removed_lines")
 #: Characters of a line for each edit of its bound, and the largest bound.
@@ -290,6 +291,8 @@ def _fuzzy_firsts(rows: DataFrame, texts: DataFrame, per_edit: int, max_edits: i
     some = picked.join(alive.select("place", "need"), "place").dropDuplicates(["place"])
     # Numbers in the order of the places: ranges are partitions, and a partition's numbers grow.
     some = cut(some.repartitionByRange("place").sortWithinPartitions("place").withColumn("ord", F.monotonically_increasing_id()))
+    del alive, picked
+    collected(rows.sparkSession)  # the half keys' shuffle files go before variants are shuffled
     keys = some.select("ord", "need", "line").mapInArrow(_neighbourhoods(per_edit, max_edits), _KEYS)
     least = [F.min(F.when(F.col("d") == e, F.col("ord"))).alias(f"least{e}") for e in range(max_edits + 1)]
     met = keys.groupBy("key").agg(*least, F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -307,12 +310,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fu
     texts = rows.mapInArrow(_distinct_lines(per_edit), _TEXTS).groupBy("t1", "t2").agg(F.min("place").alias("place"), F.sum("c").alias("c"), *[F.first(k).alias(k) for k in keep])
     texts = cut(texts)
     if fuzzy:
-        near = _fuzzy_firsts(rows, texts, per_edit, max_edits)
-        texts = texts.select("t1", "t2", "place", "c").join(near, "place", "left")
+        texts = texts.select("t1", "t2", "place", "c").join(_fuzzy_firsts(rows, texts, per_edit, max_edits), "place", "left")
     else:
         texts = texts.withColumn("near", F.lit(None).cast("decimal(38,0)"))
     first = texts.where("c > 1 or near is not null").select("t1", "t2", "c", F.least("place", F.coalesce("near", "place")).alias("first"))
     first = cut(first)
+    del texts
+    collected(docs.sparkSession)  # the variants' shuffle files go before the texts are shuffled
     repeated = rows.mapInArrow(_repeated_lines(bitmap(first, "t1")), "t1 long, t2 long, place decimal(38,0)")
     gone = skew_join(repeated, first, ["t1", "t2"], "c", F.xxhash64("place")).where("first < place")
     gone = gone.select("place", F.expr(f"pmod(place, {_STEP})").cast("int").alias("no"))
