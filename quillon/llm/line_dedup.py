@@ -97,10 +97,11 @@ class _Split:
         self.number = at - ln.first[self.row]
         self.start, self.end, self.data = ln.start[at], ln.end[at], ln.data
         self.part = batch.slice(ln.rows.start, len(ln.rows))
+        _, self.ip = powers(len(ln.data) + 1)
 
     def hashes(self, table: np.ndarray) -> np.ndarray:
         sums = segment_sums(table, self.data, np.column_stack([self.start, self.end]).ravel())[::2]
-        return sealed(sums, self.start, self.end).view(np.int64)
+        return sealed(sums, self.start, self.end, self.ip).view(np.int64)
 
     def places(self, pick: np.ndarray | slice = slice(None)) -> pa.Array:
         row = self.row[pick]
@@ -133,9 +134,9 @@ class _Split:
             (0, n - 1, (start, m1), a),
             (1, n - 1, (m2, end), c),
         ):
-            h = mix64(sealed(total, x, y) + size.astype(U) * U(0x9E3779B97F4A7C15) + U(side))
+            h = mix64(sealed(total, x, y, self.ip) + size.astype(U) * U(0x9E3779B97F4A7C15) + U(side))
             out.append(pa.array(h.view(np.int64), mask=~long_enough))
-        return sealed(a + b + c, start, end).view(np.int64), n, out
+        return sealed(a + b + c, start, end, self.ip).view(np.int64), n, out
 
 
 _TEXTS = "t1 long, t2 long, place decimal(38,0), c long, n int, half0 long, half1 long, half2 long, half3 long"

@@ -63,16 +63,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes of values[start:end] for many spans at once, mixed with the length."""
-    p, _ = powers(len(values) + 1)
+    p, ip = powers(len(values) + 1)
     s = np.zeros(len(values) + 1, U)
     with np.errstate(over="ignore"):
         np.cumsum(values * p[: len(values)], out=s[1:], dtype=U)
-        return sealed(s[end] - s[start], start, end)
+        return sealed(s[end] - s[start], start, end, ip)
 
 
-def sealed(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans from the sums of their values times BASE**position."""
-    _, ip = powers(int(start.max()) + 1 if len(start) else 1)
+def sealed(sums: np.ndarray, start: np.ndarray, end: np.ndarray, ip: np.ndarray) -> np.ndarray:
+    """Hashes of spans from the sums of their values times BASE**position; ip: BASE**-position."""
     with np.errstate(over="ignore"):
         return mix64(sums * ip[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
