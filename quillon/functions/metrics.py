@@ -44,6 +44,15 @@ def l2_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def l2_table(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """l2_pairs of each row of q with each of b: queries x rows."""
+    out = np.zeros((len(q), len(b)))
+    for x, y in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(b.T)):
+        gap = x[:, None] - y[None, :]
+        out += gap * gap
+    return out
+
+
 def l2_error(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far _l2 may be from l2_pairs: queries x rows."""
     return 4 * (q.shape[1] + 4) * np.finfo(float).eps * ((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :])

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.metrics import _l2
 from quillon.operators import cluster
-from quillon.operators.exact import knn_join, matrix
+from quillon.operators.exact import knn_among, knn_join, matrix
 from quillon.operators.pq import codes_matrix
+from quillon.operators.rerank import LISTED, knn_reranked, with_vectors
 from quillon.operators.transforms import residual_codebooks
 
 
@@ -95,3 +96,10 @@ class AdditiveQuantizer:
 
     def search(self, codes: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
         return knn_join(self.decode(codes), queries, k, metric)
+
+    def search_reranked(self, codes: DataFrame, base: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
+        """The best `rerank` (at least k) by codes, re-ranked by exact distance."""
+        if max(rerank, k) <= LISTED:
+            return knn_among(self.search(codes, queries, max(rerank, k)), base, queries, k)
+        scores = lambda q: lambda batch: _l2(q, self.decode_of(codes_matrix(batch["code"], len(self.books))))
+        return knn_reranked(with_vectors(codes.select("id", "code"), base), scores, rerank, queries, k)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillon.functions.vectors import normalised, padded, zipped
 from quillon.operators import codecs, graph, ivf, ivfcodes, ivfpq, pq, transforms
 from quillon.operators.exact import knn_among, knn_join
+from quillon.operators.rerank import LISTED, kernel_scores, knn_reranked, with_vectors
 
 
 @dataclass
@@ -77,10 +78,29 @@ class Index:
             raise ValueError(f"unknown index {c!r}")
         return self
 
+    def _coded(self, q: DataFrame, nprobe: int):
+        """Coded rows, their scores and the queries as these take them; None for indexes whose candidates are always listed."""
+        c, s = self.core, self.state
+        if isinstance(s, ivfpq.IvfPqIndex):
+            return s.codes.select("id", "cid", "code"), s.scores(nprobe), q
+        if c.startswith("PQ"):
+            return s[1].select("id", "code"), s[0].scores(), q
+        if c.startswith("SQ"):
+            return s[1].select("id", s[0].decode("code").alias("coded")), kernel_scores(self.metric), q
+        if c.startswith("LSH"):
+            bits = lambda v: codecs.as_numbers(s[0].bits(v))
+            # Of bits, l2 is l1.
+            return s[1].select("id", bits("vec").alias("coded")), kernel_scores("l2"), q.select("qid", bits("qvec").alias("qvec"))
+        return None
+
     def search(self, queries: DataFrame, k: int, nprobe: int = 8, ef: int = 64, k_factor: int = 4, where: Column | None = None) -> DataFrame:
         q = self._through(queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")), "qvec")
         n = k * k_factor if self.refine else k
         c, s = self.core, self.state
+        coded = self._coded(q, nprobe) if self.refine and n > LISTED else None
+        if coded is not None:
+            rows, scores, own = coded
+            return knn_reranked(with_vectors(rows, self.base), scores, n, queries, k, own, self.metric)
         if c == "Flat":
             found = knn_join(s, q, n, self.metric, where)
         elif isinstance(s, ivf.IvfIndex):

@@ -19,6 +19,7 @@ from quillon.functions.metrics import _l2
 from quillon.operators import cluster
 from quillon.operators.exact import _Best, knn_among, matrix, query_blocks
 from quillon.operators.pq import ProductQuantizer, codes_matrix
+from quillon.operators.rerank import LISTED, Scores, knn_reranked, with_vectors
 from quillon.operators.topk import top_k, union
 
 
@@ -108,9 +109,36 @@ class IvfPqIndex:
         d = np.round(_l2(q, self.centroids), 9)
         return np.argsort(d, axis=1, kind="stable")[:, : min(nprobe, len(self.centroids))]
 
+    def scores(self, nprobe: int) -> Scores:
+        """Summed table entries of rows(cid, code) of the lists that a query asks."""
+        model, m = self._model(), self.books.shape[1]
+
+        def of(q: np.ndarray):
+            probes, made = model.coarse(q, nprobe), {}
+
+            def cost(batch: pa.RecordBatch) -> np.ndarray:
+                out, cids, codes = np.full((len(q), batch.num_rows), np.nan), batch["cid"].to_numpy(), codes_matrix(batch["code"], m)
+                for c in np.unique(cids):
+                    own, who = np.flatnonzero(cids == c), np.flatnonzero((probes == c).any(1))
+                    if not len(who):
+                        continue
+                    if c not in made:
+                        made[c] = ProductQuantizer(model._book(c)).tables(model._rest(q[who], np.full(len(who), c)))
+                    total = np.zeros((len(who), len(own)))
+                    for j in range(m):
+                        total += made[c][:, j].take(codes[own, j], axis=1)
+                    out[np.ix_(who, own)] = total
+                return out
+
+            return cost
+
+        return of
+
     def search(self, queries: DataFrame, k: int, nprobe: int, rerank: int = 0, base: DataFrame | None = None) -> DataFrame:
         """(qid, rank, id, dist): by codes, or with rerank by exact distances of the best max(rerank, k)."""
         keep = max(rerank, k)
+        if rerank and keep > LISTED:
+            return knn_reranked(with_vectors(self.codes.select("id", "cid", "code"), base), self.scores(nprobe), keep, queries, k)
         m, model = self.books.shape[1], self._model()
         parts = []
         for qids, q in query_blocks(queries):
@@ -187,7 +215,22 @@ class PqIvfIndex:
 
         return encoded.select("id", "code").mapInArrow(run, "id long, cid int, code binary")
 
+    def scores(self, nprobe: int) -> Scores:
+        """Summed table entries of rows(cid, code) of the lists that a query asks."""
+        model = PqIvfIndex(self.pq, self.centroids)
+
+        def of(q: np.ndarray):
+            near = np.argsort(np.round(model._symmetric(model.pq.codes_of(q)), 9), axis=1, kind="stable")[:, :nprobe]
+            asked = np.zeros((len(q), len(model.centroids)), bool)
+            asked[np.arange(len(q))[:, None], near] = True
+            coded = model.pq.scores()(q)
+            return lambda batch: np.where(asked[:, batch["cid"].to_numpy()], coded(batch), np.nan)
+
+        return of
+
     def search(self, base: DataFrame, queries: DataFrame, k: int, nprobe: int, rerank: int) -> DataFrame:
+        if max(rerank, k) > LISTED:
+            return knn_reranked(with_vectors(self.codes.select("id", "cid", "code"), base), self.scores(nprobe), rerank, queries, k)
         parts = []
         for qids, q in query_blocks(queries):
             near = np.argsort(np.round(self._symmetric(self.pq.codes_of(q)), 9), axis=1, kind="stable")[:, :nprobe]

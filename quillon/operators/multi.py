@@ -8,13 +8,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.metrics import Metric, _l2
+from quillon.functions.metrics import Metric, _l2, l2_table
 from quillon.functions.vectors import plus, sq_l2
 from quillon.operators import cluster
-from quillon.operators.exact import knn_among, knn_join
+from quillon.operators.exact import knn_among, knn_join, matrix, query_blocks
 from quillon.operators.ivf import IvfIndex
+from quillon.operators.lists import asking_lists, scan_lists
 from quillon.operators.pq import ProductQuantizer
+from quillon.operators.rerank import LISTED, kernel_scores, knn_reranked, with_vectors
 from quillon.operators.topk import top_k
+from quillon.storage import cut
 
 
 @dataclass
@@ -48,8 +51,10 @@ class MultiIndex:
         return both.withColumn("probe", F.row_number().over(Window.partitionBy("qid").orderBy("d", "cid"))).where(F.col("probe") <= nprobe).select("qid", "cid", "probe")
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        both = self.probes(queries, nprobe).join(queries, "qid").join(self.lists, "cid")
-        return top_k(both.select("qid", "id", sq_l2(F.col("qvec"), F.col("vec")).alias("dist")), k).select("qid", "rank", "id", "dist")
+        """Lists are read in place, so that neither pairs nor vectors are shuffled once a query."""
+        probes = cut(self.probes(queries, nprobe))
+        blocks = [(qids, q, asking_lists(qids, q, self.halves[0], nprobe, probes)) for qids, q in query_blocks(queries)]
+        return scan_lists(self.lists.select("id", "cid", "vec"), blocks, k, lambda q, c, vecs: l2_table(q, matrix(vecs)))
 
 
 def split_metric(widths: list[int]) -> Metric:
@@ -114,3 +119,11 @@ class TwoLevelCodes:
         """Candidates by the first codes, re-ranked by the refined ones where there are any."""
         rough = knn_join(self.decode(False), queries, k * (k_factor if self.fine is not None else 1))
         return knn_among(rough, self.decode(), queries, k) if self.fine is not None else rough
+
+    def search_reranked(self, base: DataFrame, queries: DataFrame, k: int, rerank: int, k_factor: int = 4) -> DataFrame:
+        """The best `rerank` (at least k) of search(), re-ranked by exact distance."""
+        keep = max(rerank, k)
+        if keep <= LISTED or (self.fine is not None and keep * k_factor < self.codes.count()):
+            return knn_among(self.search(queries, keep, k_factor), base, queries, k)
+        # The first codes leave no row out.
+        return knn_reranked(with_vectors(self.decode().withColumnRenamed("vec", "coded"), base), kernel_scores(), keep, queries, k)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions.metrics import _l2
 from quillon.operators import cluster
 from quillon.operators.exact import _Best, knn_among, matrix, query_blocks
+from quillon.operators.rerank import LISTED, Scores, knn_reranked, with_vectors
 from quillon.operators.topk import top_k, union
 
 
@@ -166,6 +167,20 @@ class ProductQuantizer:
     def _symmetric_tables(self, q: np.ndarray) -> np.ndarray:
         return self.tables(self.decode_of(self.codes_of(q)))
 
+    def scores(self) -> Scores:
+        """Summed table entries of rows(code), as search() has them."""
+
+        def of(q: np.ndarray):
+            lut = self.tables(q)
+
+            def cost(batch: pa.RecordBatch) -> np.ndarray:
+                c = codes_matrix(batch["code"], self.m)
+                return np.stack([looked_up(t, c) for t in lut])
+
+            return cost
+
+        return of
+
     def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", max_hamming: int | None = None) -> DataFrame:
         """(qid, rank, id, dist) by summed table entries.
 
@@ -197,5 +212,7 @@ class ProductQuantizer:
         return top_k(union(parts, codes.sparkSession), k).select("qid", "rank", "id", "dist")
 
     def search_reranked(self, codes: DataFrame, base: DataFrame, queries: DataFrame, k: int, rerank: int, mode: str = "adc", rerank_metric: str = "l2") -> DataFrame:
-        """The best `rerank` (at least k) by codes, re-ranked by exact distance; base vectors are read for those only."""
+        """The best `rerank` (at least k) by codes, re-ranked by exact distance; up to LISTED of them are listed, more are found in place."""
+        if max(rerank, k) > LISTED and mode == "adc":
+            return knn_reranked(with_vectors(codes.select("id", "code"), base), self.scores(), rerank, queries, k, metric_name=rerank_metric)
         return knn_among(self.search(codes, queries, max(rerank, k), mode), base, queries, k, rerank_metric)

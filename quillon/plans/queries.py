@@ -784,8 +784,7 @@ def local_search_quantizer(spark, sf_dir):
 
     b = base(spark, sf_dir)
     q = AdditiveQuantizer.train(b, 4, 16, 2, beam=4, rounds=2)
-    found = q.search(q.encode(b), asks(spark, sf_dir), depth(b))
-    return shown(exact.knn_among(found, b, asks(spark, sf_dir), K))
+    return shown(q.search_reranked(q.encode(b), b, asks(spark, sf_dir), K, depth(b)))
 
 
 @query()
@@ -793,8 +792,7 @@ def two_level_codes(spark, sf_dir):
     from quillon.operators.multi import TwoLevelCodes
 
     b = base(spark, sf_dir)
-    found = TwoLevelCodes.build(b, 8, 8, 16, fine_m=8, iterations=2).search(asks(spark, sf_dir), depth(b))
-    return shown(exact.knn_among(found, b, asks(spark, sf_dir), K))
+    return shown(TwoLevelCodes.build(b, 8, 8, 16, fine_m=8, iterations=2).search_reranked(b, asks(spark, sf_dir), K, depth(b)))
 
 
 #: Approximate searches that end in exact distances, and so are measured by recall.
